@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 
+#: The vocabulary file of op1 and op2; a parameter of their operators.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import read_tokens, write_tokens
+
+    index = write_tokens(read_table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
+    return read_tokens(index).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import cut_documents, pack
+
+    pieces = cut_documents(read_table(spark, sf_dir, "documents"), TOKENIZER, end_id=0)
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -39,6 +57,8 @@ def op6_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
+    "op2_pack": op2_pack,
     "op4_decontaminate": op4_decontaminate,
     "op5_pii": op5_pii,
     "op6_shuffle_shards": op6_shuffle_shards,
