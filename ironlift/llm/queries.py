@@ -63,6 +63,12 @@ def op6_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_pack": op2_pack,
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_pii": op5_pii,
     "op6_shuffle_shards": op6_shuffle_shards,
+    "op7_near_duplicates": op7_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_arc_to_warc": """
