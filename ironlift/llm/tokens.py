@@ -7,6 +7,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from .common import filesystem, saved, tune, work_dir
 
 #: Characters that are encoded together, and bytes of ids that one batch carries.
 SLICE = 1 << 20
-#: Distinct pieces that a worker remembers, and the longest of them.
-PIECES, PIECE_CHARS = 700_000, 40
+#: Distinct pieces that a worker remembers, the longest of them, and how many are encoded in one text.
+PIECES, PIECE_CHARS, LINE = 300_000, 40, 32
 
 # What the byte-level pre-tokenizer's expression calls white space, and marks that it takes for neither letters, digits nor white space.
 _SPACE = "\\t-\\r \\x85\\xa0  -     　"
@@ -60,7 +61,7 @@ class Encoder:
     def _learn(self, pieces: list[str], into: dict[str, bytes]) -> None:
         """Encodes pieces, many in one text: a newline between two pieces is always a token of its own."""
         plain = [p for p in pieces if not p[-1].isspace() and "\n" not in p]
-        lines = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
+        lines = [plain[k : k + LINE] for k in range(0, len(plain), LINE)]
         for line, ids in zip(lines, self._ids(["\n".join(x) for x in lines])):
             cuts = np.flatnonzero(ids == self.newline)
             if len(cuts) != len(line) - 1:
@@ -78,8 +79,8 @@ class Encoder:
         pieces = set().union(*lists)
         new = pieces.difference(self.known)
         if len(self.known) + len(new) > PIECES:
-            self.known.clear()
-            new = pieces
+            self.known = dict(islice(self.known.items(), PIECES // 2))  # what was met first is what is met most
+            new = pieces.difference(self.known)
         self._learn([p for p in new if len(p) <= PIECE_CHARS], self.known)
         known = self.known
         if long := [p for p in new if len(p) > PIECE_CHARS]:
@@ -128,7 +129,7 @@ def _writer(out: str, tokenizer: str, end_id: int | None):
             if not batch.num_rows:
                 continue
             stream = stream or store.open_output_stream(f"{name}.{attempt}")
-            keys.append(batch.column(0))
+            keys += batch.column(0).to_pylist()
             for raw in enc.encode(batch.column(1).to_pylist()):
                 sizes.append((len(raw) + len(end)) // enc.dtype.itemsize)
                 stream.write(raw)
@@ -137,10 +138,9 @@ def _writer(out: str, tokenizer: str, end_id: int | None):
             return
         stream.close()
         store.move(f"{name}.{attempt}", f"{name}.ids")
-        keys = pa.chunked_array(keys, pa.int64())
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([part], pa.int64()), "path": [f"{out}/part-{part:06d}"], "dtype": [enc.dtype.str], "n_docs": pa.array([len(sizes)], pa.int64()), "n_tokens": pa.array([sum(sizes)], pa.int64()),
-            "doc_ids": pa.array([keys.to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int64()))})
+            "doc_ids": pa.array([keys], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int64()))})
 
     return write
 
