@@ -69,6 +69,12 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality
+
+    return quality(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", "stats.*", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_pack": op2_pack,
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_shuffle_shards": op6_shuffle_shards,
     "op7_near_duplicates": op7_near_duplicates,
+    "op9_quality_rules": op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_arc_to_warc": """
