@@ -75,6 +75,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", "stats.*", "kept")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classifier import fit, held_out
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, read_table(spark, sf_dir, "labels"))
+    return model.score(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_pack": op2_pack,
@@ -84,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_shuffle_shards": op6_shuffle_shards,
     "op7_near_duplicates": op7_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_arc_to_warc": """
