@@ -99,7 +99,7 @@ def fit_final(lifts: DataFrame, name: str, params: TrainingParams = TrainingPara
     """The named classifier on all labelled lifts, and the features it uses."""
     rows, used = vectors(prepared(lifts))
     model = pipeline(classifiers(params)[name], n_selected(rows.count(), len(used))).fit(rows)
-    return model, [used[i] for i in model.stages[0].selectedFeatures]
+    return model, [used[i] for i in sorted(model.stages[0].selectedFeatures)]  # the selector keeps the vector's order
 
 
 def importances(spark: SparkSession, model: PipelineModel, features: list[str]) -> DataFrame:
