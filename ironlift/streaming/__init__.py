@@ -1,0 +1 @@
+"""No streams here: incremental runs are the anti-join `ironlift.operators.reports.unprocessed`."""
