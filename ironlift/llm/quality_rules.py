@@ -17,8 +17,10 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 SHARE, STEPS = 0.75, 3
 #: A row is rejected beyond this squared distance, distances being scaled so that a group's median is that of chi-square with 4 degrees of freedom.
 CUTOFF, MEDIAN_CHI2 = 45.0, 3.3567
-#: Standard deviations added to each statistic's own: statistics that hardly vary in a group do not reject by themselves.
-FLOORS = (0.3, 0.06, 0.25, 0.25)
+#: The least scale: the floors below make distances small in groups that hardly vary, and those are not blown up again.
+LEAST_SCALE = 0.5
+#: Standard deviations added to each statistic's own: statistics that hardly vary in a group, and length, do not reject by themselves.
+FLOORS = (1.0, 0.06, 0.25, 0.25)
 #: A group with fewer rows gets no verdict: all its rows that pass the base stay.
 LEAST_ROWS = 40
 
@@ -103,7 +105,7 @@ def judge(rows: DataFrame) -> DataFrame:
         far = _distance(rows, root).where("d is not null").select("group__", *_X, "d")
         edge = saved(far.groupBy("group__").agg(F.percentile_approx("d", SHARE, 10_000).alias("edge__")), "mcd-edge")
         root = saved(_root(_moments(far.join(edge, "group__").where("d <= edge__"))).select(root.columns), "mcd")
-    scale = _distance(rows, root).where("d is not null").groupBy("group__").agg(F.greatest(F.percentile_approx("d", 0.5, 10_000) / MEDIAN_CHI2, F.lit(0.05)).alias("scale"))
+    scale = _distance(rows, root).where("d is not null").groupBy("group__").agg(F.greatest(F.percentile_approx("d", 0.5, 10_000) / MEDIAN_CHI2, F.lit(LEAST_SCALE)).alias("scale"))
     return saved(root.join(scale, "group__"), "mcd-scale")
 
 
