@@ -23,7 +23,7 @@ HIDDEN, EPOCHS, STEP = 24, 60, 128
 #: A slot's context vector counts as if so many other words had been seen with it.
 PRIOR = 5.0
 
-_BYTES = 1 << 20
+_BYTES = 1 << 17
 
 
 def index_vectors(slots: int = SLOTS, dimensions: int = DIMENSIONS, entries: int = ENTRIES, seed: int = 7) -> np.ndarray:
@@ -80,7 +80,10 @@ def _slices(texts: list[str | None]) -> Iterator[list[bytes]]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One partition's sums of the index vectors of each slot's neighbours, and how many neighbours there were."""
-    index = index_vectors()
+    # dimensions first: gathers and sums run along rows that stay in the cache; the last column is nobody's
+    index = np.zeros((DIMENSIONS + 1, SLOTS + 1), np.float32)
+    index[:-1, :-1] = index_vectors().T
+    index[-1, : SLOTS // 2] = 1  # counts words: each has one slot of this half
     sums, seen = np.zeros((SLOTS, DIMENSIONS + 1)), False
     for batch in batches:
         for part in _slices(batch.column(0).to_pylist()):
@@ -88,19 +91,21 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(text):
                 continue
             seen = True
-            own = index[whole] + index[shape]
-            near = np.zeros((len(text), DIMENSIONS + 1), np.float32)
+            # empty rows between the texts, so that no context reaches into another text
+            at = np.arange(len(text)) + CONTEXT * (text + 1)
+            slots = np.full((2, at[-1] + 1 + CONTEXT), SLOTS)
+            slots[0, at], slots[1, at] = whole, shape
+            own = np.take(index, slots[0], axis=1)
+            own += np.take(index, slots[1], axis=1)
+            near, n = np.zeros_like(own), own.shape[1]
             for k in range(1, CONTEXT + 1):
-                same = text[k:] == text[:-k]
-                near[k:, :-1] += own[:-k] * same[:, None]
-                near[:-k, :-1] += own[k:] * same[:, None]
-                near[k:, -1] += same
-                near[:-k, -1] += same
+                near[:, k:] += own[:, : n - k]
+                near[:, : n - k] += own[:, k:]
             for slot in (whole, shape):
-                order = np.argsort(slot, kind="stable")
+                order = np.argsort(slot.astype(np.uint16), kind="stable")
                 ordered = slot[order]
                 first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                sums[ordered[first]] += np.add.reduceat(near[order], first, axis=0)
+                sums[ordered[first]] += np.add.reduceat(np.take(near, at[order], axis=1), first, axis=1).T
     if seen:
         used = np.flatnonzero(sums[:, -1])
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(sums[used].ravel()), DIMENSIONS + 1).cast(pa.list_(pa.float64()))], ["slot", "sums"])
@@ -120,7 +125,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         out[r[0]] = np.sqrt(v[-1] + 1) ** -1 * v[:-1] if v[-1] else 0
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     # a slot that was hardly seen keeps more of its own random vector
-    return out / (norm + 1e-9) * (norm / (norm + PRIOR)) + index_vectors() / np.sqrt(ENTRIES) * (PRIOR / (norm + PRIOR))
+    return (out / (norm + 1e-9) * (norm / (norm + PRIOR)) + index_vectors() / ENTRIES**0.5 * (PRIOR / (norm + PRIOR))).astype(np.float32)
 
 
 def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
@@ -131,10 +136,10 @@ def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
         n = np.bincount(text, minlength=len(part)).astype(np.float32)
         row = np.zeros((len(part), 2 * vectors.shape[1] + 1), np.float32)
         if len(text):
-            there = np.flatnonzero(n)
-            first = np.concatenate([[0], np.cumsum(n[there])[:-1]]).astype(np.int64)
             for k, slot in enumerate((whole, shape)):
-                row[there, k * vectors.shape[1] : (k + 1) * vectors.shape[1]] = np.add.reduceat(vectors[slot], first, axis=0) / n[there, None]
+                used, nth = np.unique(slot, return_inverse=True)
+                counts = np.bincount(text * len(used) + nth, minlength=len(part) * len(used)).reshape(len(part), -1)
+                row[:, k * vectors.shape[1] : (k + 1) * vectors.shape[1]] = counts.astype(np.float32) @ vectors[used] / np.maximum(n, 1)[:, None]
         row[:, -1] = np.log1p(n) / 10
         out.append(row)
     return np.concatenate(out) if out else np.zeros((0, 2 * vectors.shape[1] + 1), np.float32)
