@@ -21,7 +21,7 @@ from .common import filesystem, saved, tune, work_dir
 #: Characters that are encoded together, and bytes of ids that one batch carries.
 SLICE = 1 << 20
 #: Distinct pieces that a worker remembers, the longest of them, and how many are encoded in one text.
-PIECES, PIECE_CHARS, LINE = 300_000, 40, 32
+PIECES, PIECE_CHARS, LINE = 700_000, 40, 32
 
 # What the byte-level pre-tokenizer's expression calls white space, and marks that it takes for neither letters, digits nor white space.
 _SPACE = "\\t-\\r \\x85\\xa0  -     　"
@@ -48,10 +48,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        conf = json.loads(self.tokenizer.to_str())
-        pre = conf.get("pre_tokenizer") or {}
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.by_piece = not conf.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and self.tokenizer.token_to_id("Ċ") is not None
+        self.by_piece = self.tokenizer.normalizer is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and self.tokenizer.token_to_id("Ċ") is not None
         self.newline = self.tokenizer.token_to_id("Ċ")
         self.known: dict[str, bytes] = {}
 
