@@ -15,8 +15,8 @@ from .decontaminate import normal_words
 WORDS, SIMILARITY = 5, 0.8
 #: Bands and rows of each: a pair at 0.8 shares none with a chance of (1 - 0.8**5)**28, about 0.000015.
 BANDS, ROWS = 28, 5
-#: Members of an undecided bucket that the first round after the star compares with all others; each further round takes as many times more.
-CENTRES = 16
+#: Members of a bucket up to which its undecided pairs are compared one by one; eight times more in each further round.
+FEW = 32
 
 _BANDS = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
@@ -124,15 +124,16 @@ def components(edges: DataFrame) -> DataFrame:
         mark = new
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, centres: int = CENTRES) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, few: int = FEW) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_class (its rows).
 
-    Equal texts are one node. Nodes whose signatures agree in a band meet in a bucket; first each bucket's
-    members are verified against one of them, so a bucket of n costs n - 1 pairs. Where that leaves a bucket in
-    several components, more members are compared with those of other components, in rounds of rising number,
-    until every bucket is one component or all its pairs have been decided. A pair is passed over only where
-    sizes, or the triangle inequality of Jaccard distances to the bucket's first member, exclude a link. Verified links are exact:
-    the Jaccard similarity of shingle sets is at least `similarity`. Classes are connected components.
+    Equal texts are one node. Nodes whose signatures agree in a band meet in a bucket. Each bucket's members are
+    first verified against its pivot, the member that meets most others, so a bucket of n costs n - 1 pairs.
+    What is then left in several components is decided exactly: of a bucket of a few, all pairs that the
+    pivot does not exclude; in a larger one, two members are similar enough only if what they share of
+    the pivot alone suffices, or if they also share a shingle that the pivot lacks, and such shingles make new, smaller
+    buckets of the same kind. A link is a Jaccard similarity of shingle sets of at least `similarity`; classes
+    are connected components.
 
     A null text is a class of its own rows' doc_id alone; texts without words are linked to equal texts only;
     short texts are one shingle; rows with null ids belong to classes like any, and only a class of nothing
@@ -141,52 +142,79 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tune(docs.sparkSession)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("node"))
     sigs = saved(base.select("doc_id", "node", banded(bands, rows, words)("text").alias("s")).select("doc_id", "node", "s.n", "s.bands"), "signatures")
-    nodes = saved(sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    keyed = nodes.select(F.explode("bands").alias("key"), "node", "n")
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    members = saved(keyed.join(buckets, "key").select("key", "node", "n", "centre", "members"), "buckets")
-
-    wanted = members.select("node").distinct()
-    texts = base.select("node", "text").join(wanted, "node").dropDuplicates(["node"])
-    sets = saved(texts.select("node", shingle_sets(words)("text").alias("set")), "shingles")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b), distinct, with their exact similarity."""
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return saved(both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")), "verified")
-
-    star = verified(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    edges = star.where(F.col("similarity") >= similarity).select("a", "b")
-    roots = components(edges)
-    largest = members.agg(F.max("members")).first()[0] or 0
-    done, now = 1, centres
-    if largest > 2:
-        # each member's distance to its bucket's first member
-        far = star.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("d"))
-        spread = saved(members.where("members > 2").join(far, ["centre", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))), "spread")
-    while largest > 2 and done < largest:
-        placed = spread.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        open_ = saved(placed.join(split, "key").withColumn("turn", F.pmod(F.xxhash64("node"), F.col("members"))), "undecided")
-        if open_.isEmpty():
-            break
-        # turn spreads a bucket's members evenly; those below `done` have met everyone already
-        new = open_.where((F.col("turn") >= (0 if done == 1 else done)) & (F.col("turn") < now)).select("key", F.col("node").alias("c"), F.col("root").alias("c_root"), F.col("d").alias("c_d"), F.col("n").alias("c_n"))
-        near = (F.col("root") != F.col("c_root")) & (F.abs(F.col("d") - F.col("c_d")) <= 1 - similarity + 1e-9) & (F.least("n", "c_n") >= similarity * F.greatest("n", "c_n") - 1e-6)
-        met = open_.join(new, "key").where(near & (F.col("node") != F.col("c")))
-        found = verified(met.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct())
-        edges = edges.union(found.where(F.col("similarity") >= similarity).select("a", "b"))
-        roots = components(edges)
-        done, now = now, now * centres
-
-    labelled = saved(nodes.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+    nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = saved(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    keyed = nodes.select(F.explode("bands").alias("key"), "id", "n")
+    meeting = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = saved(keyed.join(meeting, "key"), "buckets")
+
+    wanted = nodes.select("node", "id").join(buckets.select("id").distinct(), "id")
+    texts = base.select("node", "text").join(wanted, "node").dropDuplicates(["id"])
+    sets = saved(texts.select("id", shingle_sets(words)("text").alias("set")), "shingles")
+    roots = _decided(buckets, sets, similarity, few)
+
+    labelled = saved(nodes.select("node", "id", "least", "copies").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "labelled")
     classes = labelled.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("n_class"))
     of_node = labelled.select("node", "root").join(classes, "root").select("node", "class_id", "n_class")
     out = sigs.select("doc_id", "node").join(of_node, "node", "left")
     return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"))
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) with the number of shingles that both have, na and nb."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    return saved(both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), F.size("x").alias("na"), F.size("y").alias("nb")), "verified")
+
+
+def _split(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The buckets whose members lie in several components, each member with its root."""
+    placed = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return placed.join(apart, "key")
+
+
+def _decided(buckets: DataFrame, sets: DataFrame, similarity: float, few: int) -> DataFrame:
+    """(node, root) from buckets (key, id, n, members): links among the members of each bucket, made complete as near_duplicates() says."""
+    links = lambda found: found.where(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b")
+    edges = None
+    while True:
+        meets = buckets.groupBy("id").agg(F.sum("members").alias("meets"))
+        rank = F.col("meets") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+        pivots = buckets.join(meets, "id").groupBy("key").agg(F.max_by("id", rank).alias("pivot"))
+        starred = saved(buckets.join(pivots, "key"), "starred")
+        star = _verified(starred.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sets)
+        edges = links(star) if edges is None else edges.union(links(star))
+        roots = components(edges)
+        # what each member shares with its pivot, and what it has besides
+        shared = star.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "shared")
+        open_ = _split(starred.where("members > 2"), roots).join(shared, ["pivot", "id"], "left").withColumn("shared", F.coalesce("shared", "n"))
+        open_ = saved(open_.withColumn("own", F.col("n") - F.col("shared")), "undecided")
+        if open_.isEmpty():
+            return roots
+        other = open_.select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "root", "n", "shared", "own")])
+        in_pivot, besides = F.least("shared", "o_shared"), F.least("own", "o_own")
+        least = similarity / (1 + similarity) * (F.col("n") + F.col("o_n")) - 1e-6  # shingles that two must share to be linked
+        apart = (F.col("root") != F.col("o_root")) & (F.col("id") < F.col("o_id")) & (F.col("id") != F.col("pivot")) & (F.col("o_id") != F.col("pivot"))
+        enough = F.when(F.col("members") <= few, in_pivot + besides).otherwise(in_pivot)
+        pairs = open_.join(other, "key").where(apart & (enough >= least)).select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
+        found = links(_verified(pairs, sets))
+        # of larger buckets, two that are similar without that share a shingle which their pivot has not
+        large = open_.where(F.col("members") > few).select("pivot", "id", "n", "shared").distinct()
+        mine = large.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("whole")), "pivot")
+        lacking = saved(mine.select("pivot", "id", "n", "shared", F.explode(F.transform(F.array_except("set", "whole"), lambda x: F.xxhash64("pivot", x))).alias("key")), "lacking")
+        common = lacking.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        met = saved(lacking.join(common.select("key"), "key"), "lacking")
+        # whoever is similar to any other shares `similarity` of its own shingles with it: these lie in the pivot or are common here
+        able = met.groupBy("pivot", "id", "n", "shared").agg(F.count("*").alias("common")).where(F.col("shared") + F.col("common") >= similarity * F.col("n") - 1e-6).select("pivot", "id")
+        left = met.join(able, ["pivot", "id"]).select("key", "id", "n")
+        meeting = left.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        buckets = saved(_split(left.join(meeting, "key"), roots).select("key", "id", "n", "members"), "buckets")
+        few *= 8  # what is still undecided gets rarer by far than its buckets get larger
+        edges = found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        if buckets.isEmpty():
+            return components(edges)
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """docs without all but one row of each class: the one with the smallest doc_id. Rows of null text all stay, as no class has another row of them."""
     found = near_duplicates(docs, doc_id, text, **more)

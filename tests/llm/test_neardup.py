@@ -71,10 +71,30 @@ def test_large_group_of_near_copies(spark):
         docs.append((k, " ".join(w)))
     docs += [(1000 + k, " ".join(f"y{rnd.randint(0, 10**6)}" for _ in range(50))) for k in range(40)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    assert classes(near_duplicates(df, centres=3).collect()) == brute(docs)
+    assert classes(near_duplicates(df, few=3).collect()) == brute(docs)
     assert sorted(r.doc_id for r in drop_near_duplicates(df).collect()) == sorted(v[0] for v in brute(docs))
 
 
+def test_copies_of_copies_and_deletions(spark):
+    rnd = random.Random(8)
+    base = [f"w{rnd.randint(0, 10**6)}" for _ in range(80)]
+    docs = []
+    for family in range(3):
+        own = list(base)
+        for _ in range(family * 3):
+            own[rnd.randrange(80)] = f"f{family}{rnd.randint(0, 10**6)}"
+        for k in range(30):
+            w = list(own)
+            for _ in range(rnd.randint(0, 3)):
+                i = rnd.randrange(len(w))
+                w[i : i + rnd.randint(0, 2)] = [f"x{rnd.randint(0, 10**6)}"] * rnd.randint(0, 1)
+            docs.append((100 * family + k, " ".join(w[: len(w) - rnd.randint(0, 8)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = brute(docs)
+    for few in (2, 16):
+        assert classes(near_duplicates(df, few=few).collect()) == want
+
+
 def test_edges(spark):
     docs = [(1, None), (2, None), (3, ""), (4, ""), (5, "!!"), (6, "!!"), (7, "?"), (8, "two words"), (9, "Two, words!"), (10, "long words here " * 20_000), (10, "long words here " * 20_000), (11, "a b c d e f g")]
     df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, node int")
