@@ -21,7 +21,7 @@ CUTOFF, MEDIAN_CHI2 = 45.0, 3.3567
 LEAST_SCALE = 0.5
 #: Standard deviations added to each statistic's own: statistics that hardly vary in a group, and length, do not reject by themselves.
 FLOORS = (1.0, 0.06, 0.25, 0.25)
-#: A group with fewer rows gets no verdict: all its rows that pass the base stay.
+#: A group with fewer rows is judged by the estimates of its language, a language with fewer by those of all rows.
 LEAST_ROWS = 40
 
 _SPACE = " \t\n\x0b\f\r"
@@ -93,9 +93,9 @@ def judge(rows: DataFrame) -> DataFrame:
     """Minimum covariance determinant: rows (group__, x1..x4) -> group__, m1..m4, l11..l44, scale.
 
     Medians come from mergeable sketches and moments from partial sums, so a group with most of all rows is
-    never in one task. Groups under LEAST_ROWS rows are left out.
+    never in one task.
     """
-    middle = rows.groupBy("group__").agg(F.count("*").alias("rows__"), *[F.percentile_approx(x, 0.5, 10_000).alias(f"p{i}") for i, x in enumerate(_X, 1)]).where(f"rows__ >= {LEAST_ROWS}").drop("rows__")
+    middle = rows.groupBy("group__").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"p{i}") for i, x in enumerate(_X, 1)])
     middle = saved(middle, "medians")
     off = rows.join(middle, "group__")
     spread = off.groupBy("group__").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"p{i}")), 0.5, 10_000).alias(f"s{i}") for i, x in enumerate(_X, 1)])
@@ -109,18 +109,38 @@ def judge(rows: DataFrame) -> DataFrame:
     return saved(root.join(scale, "group__"), "mcd-scale")
 
 
+def _judges(passing: DataFrame) -> DataFrame:
+    """passing (lang__, group__, x1..x4) -> group__, judge__ (whose estimates judge the group: its own, its language's or those of all rows), seen__ (all estimates that its rows enter)."""
+    groups = passing.groupBy("lang__", "group__").agg(F.count("*").alias("n__"))
+    langs = groups.groupBy("lang__").agg(F.sum("n__").alias("of_lang__"), F.min("n__").alias("least__"))
+    known = groups.join(langs, "lang__").crossJoin(langs.agg(F.min("of_lang__").alias("least_lang__")))
+    own, of_lang, of_all = F.concat(F.lit("group"), "group__"), F.concat(F.lit("lang"), "lang__"), F.lit("all")
+    fits, lang_fits = F.col("n__") >= LEAST_ROWS, F.col("of_lang__") >= LEAST_ROWS
+    judge_ = F.when(fits, own).when(lang_fits, of_lang).otherwise(of_all)
+    # coarser estimates are made only where some group is judged by them, and from all rows that they cover; those of all rows have no least number
+    lang_needed = lang_fits & (F.col("least__") < LEAST_ROWS)
+    all_needed = F.col("least_lang__") < LEAST_ROWS
+    seen = F.array_compact(F.array(F.when(fits, own), F.when(lang_needed, of_lang), F.when(all_needed, of_all)))
+    return saved(known.select("group__", judge_.alias("judge__"), seen.alias("seen__")), "judges")
+
+
 def quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """docs, text left out, with `stats` and `kept`: false if the base failed or the row is an outlier of its language and source.
 
-    The estimates see every row that passes the base. Null languages and sources are groups of their own; null
-    and empty texts have no words and fail the base; repeated rows count as often as they occur; groups with
-    fewer than LEAST_ROWS passing rows reject nothing; an empty table gives an empty one.
+    Groups with fewer than LEAST_ROWS passing rows are judged by the estimates of their language, and languages with
+    fewer by those of all rows, however few. The estimates see every row that passes the base. Null languages and sources are groups of their own; null
+    and empty texts have no words and fail the base; repeated rows count as often as they occur; an empty table
+    gives an empty one.
     """
     stats, kept = fresh(docs, "stats", "kept")
-    group = F.concat(F.coalesce(F.col(lang), F.lit("\0")), F.lit("\x1f"), F.coalesce(F.col(source), F.lit("\0")))
+    language = F.coalesce(F.col(lang), F.lit("\0"))
+    group = F.concat(language, F.lit("\x1f"), F.coalesce(F.col(source), F.lit("\0")))
     rows = statistics(docs, text)
     columns = [c for c in docs.columns if c != text]
-    rows = saved(rows.select(*[F.col(f"`{c}`") for c in columns], stats, group.alias("group__"), *[x.alias(n) for n, x in zip(_X, transformed(stats))]), "statistics")
-    passing = rows.where(~F.col(stats)["base_failed"]).select("group__", *_X)
-    out = _distance(rows, judge(passing))
+    rows = saved(rows.select(*[F.col(f"`{c}`") for c in columns], stats, language.alias("lang__"), group.alias("group__"), *[x.alias(n) for n, x in zip(_X, transformed(stats))]), "statistics")
+    passing = rows.where(~F.col(stats)["base_failed"]).select("lang__", "group__", *_X)
+    judges = _judges(passing)
+    seen = saved(passing.join(judges, "group__").select(F.explode("seen__").alias("group__"), *_X), "seen")
+    rows = rows.join(judges.select("group__", "judge__"), "group__", "left").drop("group__").withColumnRenamed("judge__", "group__")
+    out = _distance(rows, judge(seen))
     return out.withColumn(kept, ~F.col(stats)["base_failed"] & F.coalesce(F.col("d") <= CUTOFF * F.col("scale"), F.lit(True))).select(*[F.col(f"`{c}`") for c in columns], stats, kept)

@@ -57,3 +57,18 @@ def test_outliers_of_a_group(spark):
     rows += [(2000, " ".join(word() + "###" for _ in range(200)), "en", "small")]
     kept = {r.doc_id: r.kept for r in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert all(kept[k] for k in range(300)) and not any(kept[1000 + k] for k in range(40)) and kept[2000]
+
+
+def test_outliers_of_small_groups(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(3, 9)))
+    clean = lambda: " ".join(word() for _ in range(rng.integers(100, 400)))
+    dirty = lambda: " ".join(word() + "###" for _ in range(200))
+    rows = [(k, clean(), "en", "hot") for k in range(60)] + [(100 + k, clean(), "en", f"small{k % 5}") for k in range(20)] + [(200 + k, clean(), None, None) for k in range(9)]
+    rows += [(1000 + k, dirty(), "en", "small1") for k in range(3)]  # judged by the language
+    rows += [(2000, dirty(), "xx", "hot"), (2001, dirty(), None, None)]  # judged by all rows
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality(df).collect()}
+    assert {k for k, x in kept.items() if not x} == {1000, 1001, 1002, 2000, 2001} and len(kept) == len(rows)
+    few = {r.doc_id: r.kept for r in quality(df.where("doc_id < 30 or doc_id = 2000")).collect()}  # no group and no language has enough
+    assert {k for k, x in few.items() if not x} == {2000}
