@@ -1,4 +1,4 @@
-"""Near-duplicate classes by ProbMinHash signatures of weighted word shingles, banding and exact verification."""
+"""Near-duplicate classes by ProbMinHash signatures of word shingle sets, banding and exact verification."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from .decontaminate import normal_words
 
 #: Words of a shingle, and the Jaccard similarity of two texts' shingle sets from which on they are linked.
 WORDS, SIMILARITY = 5, 0.8
-#: Bands and rows of each: a pair at 0.8 shares none with a chance of (1 - 0.8**5)**28, about 0.000015.
+#: Bands and rows of each: a pair at 0.8 shares none with a chance of (1 - 0.8**5)**28, about 0.000015, as signatures weigh all shingles alike.
 BANDS, ROWS = 28, 5
 #: Members of a bucket up to which its undecided pairs are compared one by one; eight times more in each further round.
 FEW = 32
@@ -64,16 +64,15 @@ def probminhash(elements: np.ndarray, weights: np.ndarray, owners: np.ndarray, n
 
 
 def signatures(texts: list[str | None], words: int, registers: int) -> tuple[list[int], np.ndarray]:
-    """Distinct shingles of each text, and signatures under the weights 1 + ln(how often a shingle occurs)."""
-    parts, counts = [], []
-    for x in shingles(texts, words):
-        u, c = np.unique(x, return_counts=True)
-        parts.append(u)
-        counts.append(c)
+    """Distinct shingles of each text, and signatures under equal weights.
+
+    Links are defined on sets, so signatures agree in a register with the very similarity that is verified. Weights that
+    grow with a shingle's count would let a repeated passage that only one text has keep a pair at 0.8 apart.
+    """
+    parts = [np.unique(x) for x in shingles(texts, words)]
     sizes = [len(p) for p in parts]
-    weights = 1 + np.log(np.concatenate(counts)) if sum(sizes) else np.zeros(0)
     elements = np.concatenate(parts) if sum(sizes) else np.zeros(0, np.uint64)
-    return sizes, probminhash(elements, weights, np.repeat(np.arange(len(texts)), sizes), len(texts), registers)
+    return sizes, probminhash(elements, np.ones(len(elements)), np.repeat(np.arange(len(texts)), sizes), len(texts), registers)
 
 
 def banded(bands: int, rows: int, words: int):

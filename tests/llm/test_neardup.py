@@ -95,6 +95,18 @@ def test_copies_of_copies_and_deletions(spark):
         assert classes(near_duplicates(df, few=few).collect()) == want
 
 
+def test_repeats_that_one_text_alone_has(spark):
+    rnd = random.Random(6)
+    new = lambda n: [f"w{rnd.randint(0, 10**9)}" for _ in range(n)]
+    docs = []
+    for k in range(40):
+        base = new(100)
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + new(16) * 50))]  # 96 shingles in both, 20 in one of which 16 occur 49 or 50 times
+    want = brute(docs)
+    assert len(want) == 40
+    assert classes(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()) == want
+
+
 def test_edges(spark):
     docs = [(1, None), (2, None), (3, ""), (4, ""), (5, "!!"), (6, "!!"), (7, "?"), (8, "two words"), (9, "Two, words!"), (10, "long words here " * 20_000), (10, "long words here " * 20_000), (11, "a b c d e f g")]
     df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, node int")
