@@ -36,10 +36,11 @@ _PIECE = re.compile(
 
 
 class Encoder:
-    """Texts to ids as tokenizer.encode(text, add_special_tokens=False) gives them, special tokens' strings being ordinary text.
+    """Texts to ids as tokenizer.encode(text, add_special_tokens=False) gives them, added tokens' strings in a text being those tokens.
 
-    With a byte-level pre-tokenizer a text falls into pieces whose ids do not depend on each other; each distinct
-    piece is encoded once in a worker. With any other tokenizer, whole texts are encoded.
+    With a byte-level pre-tokenizer a text falls into added tokens and pieces whose ids do not depend on each other; each
+    distinct piece is encoded once in a worker. With any other tokenizer, and where added tokens take in their
+    surroundings, whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -47,16 +48,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.by_piece = self.tokenizer.normalizer is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and self.tokenizer.token_to_id("Ċ") is not None
         self.newline = self.tokenizer.token_to_id("Ċ")
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.by_piece = self.by_piece and not any(t.single_word or t.lstrip or t.rstrip or "\n" in t.content for t in added) and len({t.normalized for t in added}) <= 1
+        # the longest of those that begin at a place, as the library takes them
+        self.added = re.compile(f"({'|'.join(re.escape(t.content) for t in sorted(added, key=lambda t: -len(t.content)))})") if added else None
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, text: str) -> list[str]:
+        if self.added is None or not self.added.search(text):
+            return _PIECE.findall(text)
+        return [p for k, part in enumerate(self.added.split(text)) for p in ([part] if k % 2 else _PIECE.findall(part))]
+
     def _learn(self, pieces: list[str], into: dict[str, bytes]) -> None:
         """Encodes pieces, many in one text: a newline between two pieces is always a token of its own."""
         plain = [p for p in pieces if not p[-1].isspace() and "\n" not in p]
@@ -74,7 +83,7 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return [x.tobytes() for x in self._ids(texts)]
-        lists = [_PIECE.findall(t) for t in texts]
+        lists = [self._pieces(t) for t in texts]
         pieces = set().union(*lists)
         new = pieces.difference(self.known)
         if len(self.known) + len(new) > PIECES:

@@ -31,6 +31,20 @@ def test_pieces_give_the_tokenizers_ids(plain):
         assert got == plain(texts)
 
 
+def test_added_tokens_are_those_of_the_plain_call(spark):
+    t = Tokenizer.from_file(PATH)
+    rnd = random.Random(5)
+    parts = ["<|endoftext|>", "<|endoftext|>", " ", "\n", "a", " b", "'s", "12", "<|", "|>", "  ", "é", ".", "<|endoftext|", "日本"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(2000)] + ["a <|endoftext|> b", "x" * 99 + "<|endoftext|>" + "y" * 99]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[-2] == [64, 220, 50256, 275]
+    enc = Encoder(PATH)
+    assert enc.by_piece and [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == want
+    df = spark.createDataFrame(list(enumerate(texts[-40:])), "doc_id long, text string")
+    got = sorted(read_tokens(write_tokens(df, "byte_bpe_50k.json")).collect(), key=lambda r: r.doc_id)
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == [[*x, 2] for x in want[-40:]]
+
+
 def test_other_tokenizers_encode_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     enc, t = Encoder(path), Tokenizer.from_file(path)
