@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RangeHash, mix, saved, tune
+from .common import RangeHash, fresh, mix, saved, tune
 from .decontaminate import normal_words
 
 #: Words of a shingle, and the Jaccard similarity of two texts' shingle sets from which on they are linked.
 WORDS, SIMILARITY = 5, 0.8
 #: Bands and rows of each: a pair at 0.8 shares none with a chance of (1 - 0.8**5)**28, about 0.000015, as signatures weigh all shingles alike.
 BANDS, ROWS = 28, 5
-#: Members of a bucket up to which its undecided pairs are compared one by one; eight times more in each further round.
-FEW = 32
+#: Members of a list of rare differences up to which its possible pairs are verified one by one; a longer list is decided by what its members have in common.
+FEW = 16
 
 _BANDS = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
@@ -108,7 +110,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn until nothing changes; a node with very many neighbours is
     aggregated before the shuffle and its join is split by Spark. Only a count and a checksum reach the driver.
     """
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -123,100 +125,133 @@ def components(edges: DataFrame) -> DataFrame:
         mark = new
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, few: int = FEW) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_class (its rows).
-
-    Equal texts are one node. Nodes whose signatures agree in a band meet in a bucket. Each bucket's members are
-    first verified against its pivot, the member that meets most others, so a bucket of n costs n - 1 pairs.
-    What is then left in several components is decided exactly: of a bucket of a few, all pairs that the
-    pivot does not exclude; in a larger one, two members are similar enough only if what they share of
-    the pivot alone suffices, or if they also share a shingle that the pivot lacks, and such shingles make new, smaller
-    buckets of the same kind. A link is a Jaccard similarity of shingle sets of at least `similarity`; classes
-    are connected components.
-
-    A null text is a class of its own rows' doc_id alone; texts without words are linked to equal texts only;
-    short texts are one shingle; rows with null ids belong to classes like any, and only a class of nothing
-    else has a null class_id; repeated rows are copies; an empty table gives none; other columns are left out.
-    """
+def _labelled(docs: DataFrame, doc_id: str, text: str, words: int, similarity: float, bands: int, rows: int, few: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of each row, and of each text: node, least (doc_id), copies, root (what nodes of one class have in common)."""
     tune(docs.sparkSession)
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("node"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _node(text).alias("node"))
     sigs = saved(base.select("doc_id", "node", banded(bands, rows, words)("text").alias("s")).select("doc_id", "node", "s.n", "s.bands"), "signatures")
-    nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     nodes = saved(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    keyed = nodes.select(F.explode("bands").alias("key"), "id", "n")
+    keyed = nodes.select(F.explode("bands").alias("key"), "id")
     meeting = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = saved(keyed.join(meeting, "key"), "buckets")
 
     wanted = nodes.select("node", "id").join(buckets.select("id").distinct(), "id")
-    texts = base.select("node", "text").join(wanted, "node").dropDuplicates(["id"])
-    sets = saved(texts.select("id", shingle_sets(words)("text").alias("set")), "shingles")
-    roots = _decided(buckets, sets, similarity, few)
+    once = base.where("node is not null").select("node", "text").dropDuplicates(["node"])  # copies go before they travel
+    sets = saved(once.join(wanted, "node").select("id", shingle_sets(words)("text").alias("set")), "shingles")
+    roots = _decided(buckets, sets, similarity, few).withColumnRenamed("node", "id")
+    labelled = nodes.select("node", "id", "least", "copies").join(roots, "id", "left").select("node", "least", "copies", F.coalesce("root", "id").alias("root"))
+    return sigs.select("doc_id", "node"), saved(labelled, "labelled")
+
+
+def _node(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, few: int = FEW) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_class (its rows).
+
+    Equal texts are one node. Nodes whose signatures agree in a band meet in a bucket. Each bucket's members are
+    verified against its pivot, the member that meets most others, so a bucket of n costs n - 1 pairs; buckets
+    whose members are then still in several components are decided exactly by what _between() says. A link is a
+    Jaccard similarity of shingle sets of at least `similarity`; classes are connected components.
 
-    labelled = saved(nodes.select("node", "id", "least", "copies").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "labelled")
+    A null text is a class of its own rows' doc_id alone; texts without words are linked to equal texts only;
+    short texts are one shingle, and very long ones are taken whole; rows with null ids belong to classes like any,
+    and only a class of nothing else has a null class_id; repeated rows are copies; an empty table gives none; other
+    columns are left out, so that no name clashes.
+    """
+    of_row, labelled = _labelled(docs, doc_id, text, words, similarity, bands, rows, few)
     classes = labelled.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("n_class"))
     of_node = labelled.select("node", "root").join(classes, "root").select("node", "class_id", "n_class")
-    out = sigs.select("doc_id", "node").join(of_node, "node", "left")
+    out = of_row.join(of_node, "node", "left")
     return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) with the number of shingles that both have, na and nb."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of distinct pairs (a, b) whose similarity suffices."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return saved(both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), F.size("x").alias("na"), F.size("y").alias("nb")), "verified")
-
-
-def _split(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """The buckets whose members lie in several components, each member with its root."""
-    placed = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return placed.join(apart, "key")
+    shared = F.size(F.array_intersect("x", "y"))
+    return saved(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "verified")
 
 
 def _decided(buckets: DataFrame, sets: DataFrame, similarity: float, few: int) -> DataFrame:
-    """(node, root) from buckets (key, id, n, members): links among the members of each bucket, made complete as near_duplicates() says."""
-    links = lambda found: found.where(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b")
-    edges = None
+    """(node, root) from buckets (key, id, n, members): the components of all links among the members of each bucket."""
+    meets = buckets.groupBy("id").agg(F.sum("members").alias("meets"))
+    rank = F.col("meets") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    pivots = buckets.join(meets, "id").groupBy("key").agg(F.max_by("id", rank).alias("pivot"))
+    starred = saved(buckets.join(pivots, "key"), "starred")
+    edges = _verified(starred.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sets, similarity)
+    roots = components(edges)
+    # the buckets whose members lie in several components
+    placed = starred.where("members > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    met = placed.join(apart, "key").select("pivot", "id", "root").distinct()
+    more = _between(met, sets, similarity, few)
+    return components(edges.union(more)) if more is not None else roots
+
+
+def _between(met: DataFrame, sets: DataFrame, similarity: float, few: int) -> DataFrame | None:
+    """Links (a, b) that join the components of each group (pivot, id, root): none is lost, and few within a component are given.
+
+    A member is held as its difference to what its group has in common: at first the group's pivot, then that with
+    all shingles turned round in which most members differ from it. By the triangle inequality, two of n and m shingles
+    whose differences have d and e are linked if d + e <= slack * (n + m); if not, and they are linked all the same,
+    their differences share (d + e - slack * (n + m)) / 2 shingles at least. So the members near enough to the nearest
+    one are linked to it at once, and any other must share that many with someone. Of its shingles, in the order of
+    their frequency, all but the last so many minus one then suffice to meet every partner. Who shares one of these makes a
+    list. Of a list of a few, the pairs that these bounds allow are verified; a longer one is a new group, whose
+    members all have lost the shared shingle from their differences, so that it ends.
+    """
+    slack = (1 - similarity) / (1 + similarity)
+    none = F.array().cast("array<bigint>")
+    whole = sets.select(F.col("id").alias("pivot"), F.col("set").alias("whole"))
+    differ = F.concat(F.array_except("set", "whole"), F.array_except("whole", "set"))
+    groups = met.join(sets, "id").join(whole, "pivot").select(F.col("pivot").alias("g"), "id", "root", F.size("set").alias("n"), differ.alias("own"))
+    found: list[DataFrame] = []
     while True:
-        meets = buckets.groupBy("id").agg(F.sum("members").alias("meets"))
-        rank = F.col("meets") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-        pivots = buckets.join(meets, "id").groupBy("key").agg(F.max_by("id", rank).alias("pivot"))
-        starred = saved(buckets.join(pivots, "key"), "starred")
-        star = _verified(starred.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sets)
-        edges = links(star) if edges is None else edges.union(links(star))
-        roots = components(edges)
-        # what each member shares with its pivot, and what it has besides
-        shared = star.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "shared")
-        open_ = _split(starred.where("members > 2"), roots).join(shared, ["pivot", "id"], "left").withColumn("shared", F.coalesce("shared", "n"))
-        open_ = saved(open_.withColumn("own", F.col("n") - F.col("shared")), "undecided")
-        if open_.isEmpty():
-            return roots
-        other = open_.select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "root", "n", "shared", "own")])
-        in_pivot, besides = F.least("shared", "o_shared"), F.least("own", "o_own")
-        least = similarity / (1 + similarity) * (F.col("n") + F.col("o_n")) - 1e-6  # shingles that two must share to be linked
-        apart = (F.col("root") != F.col("o_root")) & (F.col("id") < F.col("o_id")) & (F.col("id") != F.col("pivot")) & (F.col("o_id") != F.col("pivot"))
-        enough = F.when(F.col("members") <= few, in_pivot + besides).otherwise(in_pivot)
-        pairs = open_.join(other, "key").where(apart & (enough >= least)).select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
-        found = links(_verified(pairs, sets))
-        # of larger buckets, two that are similar without that share a shingle which their pivot has not
-        large = open_.where(F.col("members") > few).select("pivot", "id", "n", "shared").distinct()
-        mine = large.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("whole")), "pivot")
-        lacking = saved(mine.select("pivot", "id", "n", "shared", F.explode(F.transform(F.array_except("set", "whole"), lambda x: F.xxhash64("pivot", x))).alias("key")), "lacking")
-        common = lacking.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-        met = saved(lacking.join(common.select("key"), "key"), "lacking")
-        # whoever is similar to any other shares `similarity` of its own shingles with it: these lie in the pivot or are common here
-        able = met.groupBy("pivot", "id", "n", "shared").agg(F.count("*").alias("common")).where(F.col("shared") + F.col("common") >= similarity * F.col("n") - 1e-6).select("pivot", "id")
-        left = met.join(able, ["pivot", "id"]).select("key", "id", "n")
-        meeting = left.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-        buckets = saved(_split(left.join(meeting, "key"), roots).select("key", "id", "n", "members"), "buckets")
-        few *= 8  # what is still undecided gets rarer by far than its buckets get larger
-        edges = found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        if buckets.isEmpty():
-            return components(edges)
-
-
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """docs without all but one row of each class: the one with the smallest doc_id. Rows of null text all stay, as no class has another row of them."""
-    found = near_duplicates(docs, doc_id, text, **more)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept__")).distinct()
-    left = docs.join(keep, F.col(doc_id).eqNullSafe(F.col("kept__")), "left_semi")
-    return left.dropDuplicates([doc_id, text])
+        groups = saved(groups, "groups")
+        if groups.isEmpty():
+            break
+        size = groups.groupBy("g").agg(F.count("*").alias("m"))
+        most = groups.select("g", F.explode("own").alias("x")).groupBy("g", "x").agg(F.count("*").alias("k")).join(size, "g").where("2 * k > m").groupBy("g").agg(F.collect_list("x").alias("turned"))
+        turned = groups.join(most, "g", "left").withColumn("turned", F.coalesce("turned", none))
+        near = turned.withColumn("own", F.concat(F.array_except("own", "turned"), F.array_except("turned", "own"))).drop("turned")
+        near = saved(near.withColumn("d", F.size("own")).withColumn("spare", slack * F.col("n") - F.col("d")), "near")
+        nearest = near.groupBy("g").agg(F.max_by("id", "spare").alias("star"), F.max("spare").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("spare").alias("least"))
+        placed = near.join(nearest.where("lo <> hi"), "g").withColumn("core", F.col("spare") + F.col("most") >= -1e-6)
+        found.append(placed.where("core and id <> star").select(F.col("star").alias("a"), F.col("id").alias("b")))
+        # shingles that must be shared with someone, and who can
+        must = F.greatest(F.lit(1), F.ceil(-(F.col("spare") + F.col("most")) / 2 - 1e-6)).alias("must")
+        able = placed.where(F.col("least") + F.col("most") < -1e-6).select("g", "id", "root", "n", "d", "spare", "core", must).where("d >= must")
+        each = saved(able.join(near.select("g", "id", "own"), ["g", "id"]).select(*able.columns, F.explode("own").alias("x")), "shared")
+        k = each.groupBy("g", "x").agg(F.count("*").alias("k"), F.min("core").alias("all_core"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("not all_core and lo <> hi").select("g", "x", "k")
+        ranked = each.join(k, ["g", "x"]).groupBy(*able.columns).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("xs"))
+        first = F.slice("xs", 1, F.greatest(F.lit(0), F.size("xs") - F.col("must") + 1).cast("int"))
+        lists = saved(ranked.select("g", "id", "root", "d", "spare", "core", F.explode(first).alias("x")).withColumn("x", F.col("x.x")), "lists")
+        # one of lists with the same members
+        of_list = lists.groupBy("g", "x").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.min("core").alias("all_core"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("not all_core and lo <> hi")
+        kept = saved(of_list.groupBy("g", "members", "mark").agg(F.min("x").alias("x")).select("g", "x", "members"), "kept")
+        short = lists.join(kept.where(F.col("members") <= few), ["g", "x"])
+        other = short.select("g", "x", *[F.col(c).alias(f"o_{c}") for c in ("id", "root", "d", "spare", "core")])
+        possible = (F.col("root") != F.col("o_root")) & (F.col("id") < F.col("o_id")) & ~(F.col("core") & F.col("o_core")) & (F.least("d", "o_d") >= -(F.col("spare") + F.col("o_spare")) / 2 - 1e-6)
+        found.append(_verified(short.join(other, ["g", "x"]).where(possible).select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct(), sets, similarity))
+        long = lists.join(kept.where(F.col("members") > few), ["g", "x"]).select("g", "x", "id", "root")
+        groups = long.join(near.select("g", "id", "n", "own"), ["g", "id"]).select(F.xxhash64("g", "x").alias("g"), "id", "root", "n", "own")
+    return reduce(DataFrame.union, found) if found else None
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, few: int = FEW) -> DataFrame:
+    """docs without all but one row of each class: that of the least doc_id, and of several texts with that id the one of least digest.
+
+    Of rows with equal id and text any one stays. Rows of null text all stay, repeated ones too, as no class has
+    another row of them. A null id counts as the largest. An empty table gives an empty one; all columns of docs
+    stay, whatever their names.
+    """
+    _, labelled = _labelled(docs, doc_id, text, words, similarity, bands, rows, few)
+    first = labelled.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("first")).select("first.*")
+    (mark,) = fresh(docs, "mark")
+    marked = lambda node, key: F.unhex(F.md5(F.concat(node, F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("")).cast("binary"))))
+    keep = first.select(marked(F.col("node"), F.col("least")).alias(mark))
+    rows_ = docs.where(F.col(text).isNotNull()).withColumn(mark, marked(_node(text), F.col(doc_id)))
+    return docs.where(F.col(text).isNull()).unionByName(rows_.join(keep, mark, "left_semi").dropDuplicates([mark]).drop(mark))
