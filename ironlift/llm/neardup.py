@@ -19,6 +19,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 5
 #: Members of a list of rare differences up to which its possible pairs are verified one by one; a longer list is decided by what its members have in common.
 FEW = 16
+#: Words of 64 bits, a power of two, in which the parities of a difference are kept.
+ODD = 4
 
 _BANDS = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
@@ -191,6 +193,13 @@ def _decided(buckets: DataFrame, sets: DataFrame, similarity: float, few: int) -
     return components(edges.union(more)) if more is not None else roots
 
 
+def _odd(own: str) -> Column:
+    """Which of 64 * ODD classes hold an odd number of shingles: two sets differ in as many shingles at least as their classes do."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda i: F.filter(own, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(ODD - 1)) == i)
+    return F.array(*[F.aggregate(word(i), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x))) for i in range(ODD)])
+
+
 def _between(met: DataFrame, sets: DataFrame, similarity: float, few: int) -> DataFrame | None:
     """Links (a, b) that join the components of each group (pivot, id, root): none is lost, and few within a component are given.
 
@@ -217,24 +226,27 @@ def _between(met: DataFrame, sets: DataFrame, similarity: float, few: int) -> Da
         most = groups.select("g", F.explode("own").alias("x")).groupBy("g", "x").agg(F.count("*").alias("k")).join(size, "g").where("2 * k > m").groupBy("g").agg(F.collect_list("x").alias("turned"))
         turned = groups.join(most, "g", "left").withColumn("turned", F.coalesce("turned", none))
         near = turned.withColumn("own", F.concat(F.array_except("own", "turned"), F.array_except("turned", "own"))).drop("turned")
-        near = saved(near.withColumn("d", F.size("own")).withColumn("spare", slack * F.col("n") - F.col("d")), "near")
-        nearest = near.groupBy("g").agg(F.max_by("id", "spare").alias("star"), F.max("spare").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("spare").alias("least"))
+        near = saved(near.withColumn("d", F.size("own")).withColumn("spare", slack * F.col("n") - F.col("d")).withColumn("odd", _odd("own")), "near")
+        nearest = near.groupBy("g").agg(F.max_by("id", "spare").alias("star"), F.max("spare").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("spare").alias("least"), F.max("n").alias("widest"))
         placed = near.join(nearest.where("lo <> hi"), "g").withColumn("core", F.col("spare") + F.col("most") >= -1e-6)
         found.append(placed.where("core and id <> star").select(F.col("star").alias("a"), F.col("id").alias("b")))
         # shingles that must be shared with someone, and who can
-        must = F.greatest(F.lit(1), F.ceil(-(F.col("spare") + F.col("most")) / 2 - 1e-6)).alias("must")
-        able = placed.where(F.col("least") + F.col("most") < -1e-6).select("g", "id", "root", "n", "d", "spare", "core", must).where("d >= must")
+        widest = F.least(F.col("n") / similarity, F.col("widest"))
+        must = F.ceil(F.greatest(F.lit(1.0), -(F.col("spare") + F.col("most")) / 2, F.col("d") - slack * (F.col("n") + widest)) - 1e-6).alias("must")
+        able = placed.where(F.col("least") + F.col("most") < -1e-6).select("g", "id", "root", "n", "d", "spare", "odd", "core", must).where("d >= must")
         each = saved(able.join(near.select("g", "id", "own"), ["g", "id"]).select(*able.columns, F.explode("own").alias("x")), "shared")
         k = each.groupBy("g", "x").agg(F.count("*").alias("k"), F.min("core").alias("all_core"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("not all_core and lo <> hi").select("g", "x", "k")
         ranked = each.join(k, ["g", "x"]).groupBy(*able.columns).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("xs"))
         first = F.slice("xs", 1, F.greatest(F.lit(0), F.size("xs") - F.col("must") + 1).cast("int"))
-        lists = saved(ranked.select("g", "id", "root", "d", "spare", "core", F.explode(first).alias("x")).withColumn("x", F.col("x.x")), "lists")
+        lists = saved(ranked.select("g", "id", "root", "n", "d", "spare", "odd", "core", F.explode(first).alias("x")).withColumn("x", F.col("x.x")), "lists")
         # one of lists with the same members
         of_list = lists.groupBy("g", "x").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.min("core").alias("all_core"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("not all_core and lo <> hi")
         kept = saved(of_list.groupBy("g", "members", "mark").agg(F.min("x").alias("x")).select("g", "x", "members"), "kept")
         short = lists.join(kept.where(F.col("members") <= few), ["g", "x"])
-        other = short.select("g", "x", *[F.col(c).alias(f"o_{c}") for c in ("id", "root", "d", "spare", "core")])
-        possible = (F.col("root") != F.col("o_root")) & (F.col("id") < F.col("o_id")) & ~(F.col("core") & F.col("o_core")) & (F.least("d", "o_d") >= -(F.col("spare") + F.col("o_spare")) / 2 - 1e-6)
+        other = short.select("g", "x", *[F.col(c).alias(f"o_{c}") for c in ("id", "root", "n", "d", "spare", "odd", "core")])
+        new = (F.col("root") != F.col("o_root")) & (F.col("id") < F.col("o_id")) & ~(F.col("core") & F.col("o_core"))
+        unlike = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("o_odd")[i])) for i in range(1, ODD)), F.bit_count(F.col("odd")[0].bitwiseXOR(F.col("o_odd")[0])))
+        possible = new & (F.least("d", "o_d") >= -(F.col("spare") + F.col("o_spare")) / 2 - 1e-6) & (unlike <= slack * (F.col("n") + F.col("o_n")) + 1e-6)
         found.append(_verified(short.join(other, ["g", "x"]).where(possible).select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct(), sets, similarity))
         long = lists.join(kept.where(F.col("members") > few), ["g", "x"]).select("g", "x", "id", "root")
         groups = long.join(near.select("g", "id", "n", "own"), ["g", "id"]).select(F.xxhash64("g", "x").alias("g"), "id", "root", "n", "own")
