@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .common import fresh, tune
 
 #: Kinds in their order. The first four are the base; the method adds the others.
-KINDS = ("email", "ip", "card", "phone", "url", "iban", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "secret")
 BASE = KINDS[:4]
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -23,6 +23,12 @@ _DIGIT = frozenset("0123456789")
 _PHONE = frozenset(" ().0123456789-")
 _SCHEMES = ("http://", "https://", "ftp://", "HTTP://", "HTTPS://", "FTP://")
 _CUES = ("IBAN", "iban", "account", "Account", "ACCOUNT", "konto", "Konto", "compte", "Compte", "cuenta", "Cuenta")
+_SECRETS = ("token", "Token", "TOKEN", "secret", "Secret", "SECRET", "api_key", "apikey", "apiKey", "API_KEY", "api-key", "access_key", "ACCESS_KEY", "private_key", "PRIVATE_KEY", "password", "Password", "PASSWORD", "passwd")
+#: What may stand between a cue and a value: the rest of the name, a quote, an equals sign or colon, a quote.
+_ASSIGNED = re.compile(r"""[A-Za-z0-9_-]{0,24}["']?\s{0,3}(?:=|:|=>|:=)\s{0,3}(["']?)""")
+_VALUE = re.compile(r"[A-Za-z0-9+/_.=~-]+")
+#: Least characters of a secret, in quotes or bare.
+_LEAST_QUOTED, _LEAST_BARE = 12, 16
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IBAN = re.compile(r"[^A-Za-z0-9]{0,3}([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})")
 _ACCOUNT = re.compile(r"(?: ?(?:no\.?|number|nr\.?|n°|#))?\s{0,2}[:=#]?\s{0,2}([0-9]{6,18})(?![0-9])")
@@ -49,6 +55,8 @@ def automaton():
             a.add_word(s, ("url", len(s)))
         for c in _CUES:
             a.add_word(c, ("iban" if c.lower() == "iban" else "account", len(c)))
+        for c in _SECRETS:
+            a.add_word(c, ("secret", len(c)))
         a.make_automaton()
         _automaton = a
     return _automaton
@@ -120,6 +128,23 @@ def iban_valid(value: str) -> bool:
     return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def _secret(text: str, end: int) -> tuple[int, int] | None:
+    """The value assigned after a cue that ends at end: letters and digits both, long enough, and its closing quote where one opened."""
+    m = _ASSIGNED.match(text, end)
+    v = m and _VALUE.match(text, m.end())
+    if not v:
+        return None
+    a, b = v.span()
+    if m[1]:
+        sound = b - a >= _LEAST_QUOTED and text[b : b + 1] == m[1]
+    else:
+        while b > a and text[b - 1] in ".=-":  # a sentence's end is no part of the value
+            b -= 1
+        sound = b - a >= _LEAST_BARE
+    value = text[a:b]
+    return (a, b) if sound and any(c in _DIGIT for c in value) and any(c.isalpha() for c in value) else None
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of a text, in code points, by start and then by kind in the order of KINDS."""
     if not text:
@@ -161,6 +186,10 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                     out.append((kind, m.start(1), m.start(1) + len(sized)))
                     done[kind] = m.start(1) + len(sized)
                 break
+        elif kind == "secret":
+            if span := _secret(text, end + 1):
+                out.append((kind, *span))
+                done[kind] = span[1]
         elif m := _ACCOUNT.match(text, end + 1):
             out.append((kind, *m.span(1)))
             done[kind] = m.end()
@@ -193,7 +222,8 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
     email, ip, card and phone are what their regular expressions find from the left without overlap and what
     then passes validation; a failing match is dropped and not tried again from within. url (with a user and
-    password), iban (checksum holds) and account (digits after a cue) come on top. A null or empty text has
+    password), iban (checksum holds), account (digits after a cue) and secret (a value of letters and digits assigned
+    to a name with a cue such as token, key or password) come on top. Very long texts are searched whole. A null or empty text has
     none; repeated rows each get their own; a clashing column spans stays and the new one gets underscores.
     """
     tune(docs.sparkSession)
@@ -202,6 +232,10 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span in text replaced by its kind; null stays null, and texts without spans stay as they are."""
+    """docs with every span in text replaced by its kind; null stays null, and texts without spans stay as they are.
+
+    Overlapping spans are one, of the first's kind; very long texts are searched whole, repeated rows each get their
+    own, an empty table gives an empty one, and no column is added.
+    """
     tune(docs.sparkSession)
     return docs.withColumn(text, _redact(F.col(text)))
