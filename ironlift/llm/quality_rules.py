@@ -31,11 +31,13 @@ _X = ("x1", "x2", "x3", "x4")
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `stats`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
-    Words are what lies between spaces, tabs and line ends. All of it stays inside a row: no text is exploded.
+    Words are what lies between spaces, tabs and line ends. All of it stays inside a row: no text is exploded, and very
+    long ones are taken whole. Null and empty texts have no words; repeated rows each have their own; an empty table
+    gives an empty one; a column of docs named stats stays, and the new one gets underscores.
     """
     (stats,) = fresh(docs, "stats")
     t = "t__"
-    rows = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row__"), F.coalesce(F.col(text), F.lit("")).alias(t))  # in one struct, docs' names clash with none of ours
     rows = rows.withColumn("trimmed__", F.trim(F.col(t), F.lit(_SPACE)))
     rows = rows.withColumn("words__", F.when(F.col("trimmed__") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed__", r"[\x20\x09-\x0D]+")))
     rows = rows.withColumn("lines__", F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(_SPACE)) != ""))
@@ -53,7 +55,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     out = F.struct(
         long(n, "n_words"), long(F.length(F.translate(t, _SPACE, "")), "word_chars"), long(F.length(t) - F.length(F.translate(t, "#*$%&|<>", "")), "n_symbols"),
         long(F.size("lines__") - F.size(F.array_distinct("lines__")), "n_dup_lines"), long(F.col("repeated__"), "n_repeat_words"), failed.alias("base_failed"))
-    return rows.withColumn(stats, out).drop(t, "trimmed__", "words__", "lines__", "windows__", "placed__", "found__", "repeated__")
+    return rows.select("row__.*", out.alias(stats))
 
 
 def transformed(stats: str = "stats") -> list[Column]:
@@ -113,13 +115,14 @@ def _judges(passing: DataFrame) -> DataFrame:
     """passing (lang__, group__, x1..x4) -> group__, judge__ (whose estimates judge the group: its own, its language's or those of all rows), seen__ (all estimates that its rows enter)."""
     groups = passing.groupBy("lang__", "group__").agg(F.count("*").alias("n__"))
     langs = groups.groupBy("lang__").agg(F.sum("n__").alias("of_lang__"), F.min("n__").alias("least__"))
-    known = groups.join(langs, "lang__").crossJoin(langs.agg(F.min("of_lang__").alias("least_lang__")))
+    known = groups.join(langs, "lang__")
+    least_lang = langs.agg(F.min("of_lang__")).first()[0] or 0  # one number
     own, of_lang, of_all = F.concat(F.lit("group"), "group__"), F.concat(F.lit("lang"), "lang__"), F.lit("all")
     fits, lang_fits = F.col("n__") >= LEAST_ROWS, F.col("of_lang__") >= LEAST_ROWS
     judge_ = F.when(fits, own).when(lang_fits, of_lang).otherwise(of_all)
     # coarser estimates are made only where some group is judged by them, and from all rows that they cover; those of all rows have no least number
     lang_needed = lang_fits & (F.col("least__") < LEAST_ROWS)
-    all_needed = F.col("least_lang__") < LEAST_ROWS
+    all_needed = F.lit(least_lang < LEAST_ROWS)
     seen = F.array_compact(F.array(F.when(fits, own), F.when(lang_needed, of_lang), F.when(all_needed, of_all)))
     return saved(known.select("group__", judge_.alias("judge__"), seen.alias("seen__")), "judges")
 
@@ -129,18 +132,18 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 
     Groups with fewer than LEAST_ROWS passing rows are judged by the estimates of their language, and languages with
     fewer by those of all rows, however few. The estimates see every row that passes the base. Null languages and sources are groups of their own; null
-    and empty texts have no words and fail the base; repeated rows count as often as they occur; an empty table
-    gives an empty one.
+    and empty texts have no words and fail the base; repeated rows count as often as they occur; equal distances are
+    judged alike; an empty table gives an empty one; columns of docs stay, whatever their names.
     """
     stats, kept = fresh(docs, "stats", "kept")
     language = F.coalesce(F.col(lang), F.lit("\0"))
     group = F.concat(language, F.lit("\x1f"), F.coalesce(F.col(source), F.lit("\0")))
-    rows = statistics(docs, text)
-    columns = [c for c in docs.columns if c != text]
-    rows = saved(rows.select(*[F.col(f"`{c}`") for c in columns], stats, language.alias("lang__"), group.alias("group__"), *[x.alias(n) for n, x in zip(_X, transformed(stats))]), "statistics")
-    passing = rows.where(~F.col(stats)["base_failed"]).select("lang__", "group__", *_X)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row__")
+    rows = saved(statistics(docs, text).select(rest, F.col(stats).alias("stats"), language.alias("lang__"), group.alias("group__"), *[x.alias(n) for n, x in zip(_X, transformed(stats))]), "statistics")
+    passing = rows.where(~F.col("stats")["base_failed"]).select("lang__", "group__", *_X)
     judges = _judges(passing)
     seen = saved(passing.join(judges, "group__").select(F.explode("seen__").alias("group__"), *_X), "seen")
     rows = rows.join(judges.select("group__", "judge__"), "group__", "left").drop("group__").withColumnRenamed("judge__", "group__")
     out = _distance(rows, judge(seen))
-    return out.withColumn(kept, ~F.col(stats)["base_failed"] & F.coalesce(F.col("d") <= CUTOFF * F.col("scale"), F.lit(True))).select(*[F.col(f"`{c}`") for c in columns], stats, kept)
+    verdict = ~F.col("stats")["base_failed"] & F.coalesce(F.col("d") <= CUTOFF * F.col("scale"), F.lit(True))
+    return out.select("row__.*", F.col("stats").alias(stats), verdict.alias(kept))
