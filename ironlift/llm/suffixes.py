@@ -264,8 +264,9 @@ def repeated_intervals(texts: DataFrame, length: int = LENGTH, k: int = K, group
     each = places.select("node", F.explode(F.arrays_zip("key", "place", "begin", "end")).alias("a")).select("node", "a.*")
     spot = F.xxhash64("node", "place")
     shared = each.groupBy("key").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).where("lo <> hi").select("key")
+    shared = saved(shared, "shared-anchors")  # a table of its own, so that Spark can split the join at a key that very many texts have
     mine = each.join(shared, "key").groupBy("node").agg(F.collect_set(F.struct("key", "place", "begin", "end")).alias("shared"))
-    once = texts.join(mine, "node").dropDuplicates(["node"]).select("node", "data", "shared")
+    once = texts.dropDuplicates(["node"]).join(mine, "node").select("node", "data", "shared")  # copies go before they travel
     rows = saved(once.mapInArrow(_contexts(length), _CONTEXT), "contexts")
     out = None
     for block in (0, *SPLITS):
@@ -321,11 +322,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
     """
     tune(docs.sparkSession)
     kept, n_bytes, n_removed, n_spans = fresh(docs, "kept", "n_bytes", "n_removed", "n_spans")
+    content, node, spans, cut = fresh(docs, "data__", "node__", "spans__", "cut__")
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    base = docs.withColumns({"data__": data, "node__": F.unhex(F.md5(data))})
-    intervals = repeated_intervals(base.select(F.col("node__").alias("node"), F.col("data__").alias("data")), length, k, group)
-    copied = base.where(F.octet_length("data__") >= length).groupBy("node__").agg(F.count("*").alias("n"), F.first(F.octet_length("data__")).alias("size")).where("n > 1")
-    everything = copied.select(F.col("node__").alias("node"), F.lit(0).alias("start"), F.col("size").alias("end"))
-    spans = intervals.union(everything).groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("spans__")).withColumnRenamed("node", "node__")
-    cut = base.join(saved(spans, "spans"), "node__", "left").withColumn("cut__", _cut("data__", "spans__"))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("cut__.kept", "data__").alias(kept), F.octet_length("data__").cast("long").alias(n_bytes), F.col("cut__.n_removed").alias(n_removed), F.col("cut__.n_spans").alias(n_spans))
+    base = docs.withColumns({content: data, node: F.unhex(F.md5(data))})
+    intervals = repeated_intervals(base.select(F.col(node).alias("node"), F.col(content).alias("data")), length, k, group)
+    copied = base.where(F.octet_length(content) >= length).groupBy(node).agg(F.count("*").alias("n"), F.first(F.octet_length(content)).alias("size")).where("n > 1")
+    everything = copied.select(F.col(node).alias("node"), F.lit(0).alias("start"), F.col("size").alias("end"))
+    of_node = intervals.union(everything).groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias(spans)).withColumnRenamed("node", node)
+    out = base.join(saved(of_node, "spans"), node, "left").withColumn(cut, _cut(content, spans))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(cut)["kept"], F.col(content)).alias(kept), F.octet_length(content).cast("long").alias(n_bytes), F.col(cut)["n_removed"].alias(n_removed), F.col(cut)["n_spans"].alias(n_spans))
