@@ -28,25 +28,26 @@ def shuffle_shards(df: DataFrame, shards: int = 8, seed: int = 42, text: str = "
     stream (Spark's shuffle() is Fisher-Yates) and deals the rows out in turn, starting where the bucket
     before it ended. The order depends on the seed and on how the input is split into partitions.
     Null texts count as no bytes; repeated rows stay repeated rows; an empty table gives an empty one.
-    Columns of df named shard or slot stay, and the new ones get underscores appended.
+    A very long text makes its bucket as much larger. Columns of df named shard or slot stay, and the new ones get underscores appended.
     """
     spark = df.sparkSession
-    shard, slot, bucket, place = fresh(df, "shard", "slot", "bucket", "place")
+    shard, slot, bucket, place, base, pos, packed = fresh(df, "shard", "slot", "bucket", "place", "base", "pos", "packed")
     total = df.select(F.sum(size_of(text))).first()[0] or 0
     n = max(1, -(-total // bucket_bytes))
     placed = df.withColumn(place, F.monotonically_increasing_id())
     rows = saved(placed.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.col(place)), F.lit(n))), "scatter")
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy(bucket).count().select(bucket, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base__"))
-    whole = rows.repartition(bucket).groupBy(bucket).agg(F.collect_list(F.struct(place, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))).alias("rows__"))
-    by_place = F.array_sort("rows__", lambda a, b: F.when(a[place] < b[place], -1).when(a[place] > b[place], 1).otherwise(0))  # rows arrive in any order
-    mixed = whole.select(bucket, F.shuffle(by_place, F.lit(seed)).alias("rows__"))
-    out = mixed.join(bases, bucket).select("base__", F.posexplode("rows__").alias("pos__", "row__"))
-    at = F.col("base__") + F.col("pos__")
-    return out.select("row__.row.*", F.pmod(at, F.lit(shards)).cast("int").alias(shard), F.floor(at / shards).cast("long").alias(slot))
+    bases = rows.groupBy(bucket).count().select(bucket, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
+    # as many partitions as buckets: a task holds the few buckets whose hashes meet, whatever the session's number
+    whole = rows.repartition(n, bucket).groupBy(bucket).agg(F.collect_list(F.struct(place, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))).alias(packed))
+    by_place = F.array_sort(packed, lambda a, b: F.when(a[place] < b[place], -1).when(a[place] > b[place], 1).otherwise(0))  # rows arrive in any order
+    mixed = whole.select(bucket, F.shuffle(by_place, F.lit(seed)).alias(packed))
+    out = mixed.join(bases, bucket).select(base, F.posexplode(packed).alias(pos, "row"))
+    at = F.col(base) + F.col(pos)
+    return out.select("row.row.*", F.pmod(at, F.lit(shards)).cast("int").alias(shard), F.floor(at / shards).cast("long").alias(slot))
 
 
 def write_shards(shuffled: DataFrame, path: str, shard: str = "shard", slot: str = "slot") -> None:
-    """Writes one folder a shard, the rows of each file in the order of their slots; a shard's files are ranges of its slots."""
+    """Writes one folder a shard (an empty table writes none; nulls and repeated rows are rows like any), the rows of each file in the order of their slots; a shard's files are ranges of its slots."""
     (shuffled.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot)
      .write.partitionBy(shard).option("compression", "zstd").parquet(path))
