@@ -25,7 +25,7 @@ ARC_FIELDS = {
 #: Payloads of fewer bytes are never written as revisits.
 REVISIT_BYTES = 100
 
-_RECORD = "key long, url string, ip string, archive_date string, mime string, arc_version int, http binary, payload binary, payload_digest string"
+_RECORD = "key long, url string, ip string, archive_date string, mime string, arc_version int, http binary, payload binary, payload_bytes long, payload_digest string"
 
 
 def arc_blocks(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", date: str = "20000101000000", version: int = 1) -> DataFrame:
@@ -79,12 +79,12 @@ def parse_arc(data: bytes) -> Iterator[dict]:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("archive_date", pa.string()), ("mime", pa.string()), ("arc_version", pa.int32()), ("http", pa.binary()), ("payload", pa.binary()), ("payload_digest", pa.string())])
+    schema = pa.schema([("key", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("archive_date", pa.string()), ("mime", pa.string()), ("arc_version", pa.int32()), ("http", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
     for batch in batches:
         rows, held = [], 0
         for key, arc in zip(batch.column(0).to_pylist(), batch.column(1)):
             for r in parse_arc(arc.as_py() or b""):
-                r |= {"key": key, "payload_digest": hashlib.sha256(r["payload"]).hexdigest()}
+                r |= {"key": key, "payload_bytes": len(r["payload"]), "payload_digest": hashlib.sha256(r["payload"]).hexdigest()}
                 rows.append(r)
                 held += len(r["payload"])
                 if held >= 8 << 20:
@@ -119,14 +119,17 @@ def convert(arcs: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
 
     original is null for a response, and else the smallest key among the records with an equal payload of at
     least revisit_bytes, which the record revisits. Repeated records with that smallest key are all responses;
-    so are records whose payload nobody with a key has. The smallest keys are aggregated before the shuffle, and
-    a payload that many records have is joined by digest only where it repeats, with Spark splitting large keys.
+    so are records whose payload nobody with a key has. Archives are parsed once: the records are written, and
+    originals are decided on their keys, lengths and digests alone. Smallest keys are aggregated before the shuffle,
+    and Spark splits the join where many records have one payload. A null archive has no record, an empty payload
+    is never revisited, very long ones travel in batches of their own, repeated rows are records of their own, an
+    empty table gives none; other columns of arcs are left out.
     """
     tune(arcs.sparkSession)
-    records = arcs.select("key", "arc").mapInArrow(_parsed, _RECORD)
-    again = records.where(F.octet_length("payload") >= revisit_bytes).groupBy("payload_digest").agg(F.min("key").alias("first__"), F.count("*").alias("n__")).where("n__ > 1 and first__ is not null").select("payload_digest", "first__")
+    records = saved(arcs.select("key", "arc").mapInArrow(_parsed, _RECORD), "arc-records")
+    again = records.where(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest").agg(F.min("key").alias("first__"), F.count("*").alias("n__")).where("n__ > 1 and first__ is not null").select("payload_digest", "first__")
     out = records.join(again, "payload_digest", "left")
-    return out.withColumn("original", F.when(~F.col("key").eqNullSafe(F.col("first__")) & (F.octet_length("payload") >= revisit_bytes), F.col("first__"))).drop("first__")
+    return out.withColumn("original", F.when(~F.col("key").eqNullSafe(F.col("first__")) & (F.col("payload_bytes") >= revisit_bytes), F.col("first__"))).drop("first__")
 
 
 def _quoted(x: str) -> str:
@@ -243,7 +246,10 @@ def _warc_reader(with_payload: bool):
 
 
 def read_warc(files: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of written files, payloads checked against their digests: key, record_type, record_id, url, date, payload_bytes, payload_digest, refers_to, payload."""
+    """The records of written files, payloads checked against their digests: key, record_type, record_id, url, date, payload_bytes, payload_digest, refers_to, payload.
+
+    No files give no records; repeated records are rows of their own, and a record is read whole, however long.
+    """
     tune(files.sparkSession)
     schema = "key long, record_type string, record_id string, url string, date string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * with_payload
     return files.select("path").repartition(max(1, files.count())).mapInArrow(_warc_reader(with_payload), schema)
