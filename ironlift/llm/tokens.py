@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 from .common import filesystem, saved, tune, work_dir
 
+#: Bytes of text in a part, so that one task holds the ids and lengths of so many documents and no more.
+PART_BYTES = 64 << 20
 #: Characters that are encoded together, and bytes of ids that one batch carries.
 SLICE = 1 << 20
 #: Distinct pieces that a worker remembers, the longest of them, and how many are encoded in one text.
@@ -177,7 +179,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, doc_id
     part-N.ids holds 16-bit unsigned ids where the vocabulary allows, else 32-bit ones; part-N.offsets and
     part-N.docs say where each document begins and which it is. base is the number of ids in earlier parts, a
     prefix sum over the parts' totals. Documents are dealt to parts by ranges of (doc_id, hash of text), so
-    one repeated doc_id can fill many parts. Null ids come first, repeated ids lie side by side, null and empty
+    one repeated doc_id can fill many parts; a part holds about PART_BYTES of text at most, and a longer text whole. Null ids come first, repeated ids lie side by side, null and empty
     texts have the end id alone, an empty table writes no file. Other columns of docs are not written.
     """
     spark = docs.sparkSession
@@ -186,7 +188,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, doc_id
     store, folder = filesystem(out)
     store.create_dir(folder, recursive=True)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
+    parts_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    rows = rows.repartitionByRange(parts_, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
     parts = saved(rows.mapInArrow(_writer(out, tokenizer, end_id), _INDEX), "token-parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
@@ -195,25 +199,26 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, doc_id
 
 
 def _mapped(store, name: str, dtype: str):
-    """A file as an array: memory-mapped where it is a local or mounted file, else read."""
+    """What gives a range of a file as an array: memory-mapped where it is a local or mounted file, else that range is read."""
     if store.type_name == "local":
-        return np.memmap(name, dtype, "r") if os.path.getsize(name) else np.zeros(0, dtype)
-    with store.open_input_file(name) as f:
-        return np.frombuffer(f.read(), dtype)
+        whole = np.memmap(name, dtype, "r") if os.path.getsize(name) else np.zeros(0, dtype)
+        return lambda a, b: np.asarray(whole[a:b])
+    size, f = np.dtype(dtype).itemsize, store.open_input_file(name)
+    return lambda a, b: np.frombuffer(f.read_at(int(b - a) * size, int(a) * size), dtype)
 
 
 def _reader(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for r in batch.to_pylist():
             store, name = filesystem(r["path"])
-            ids, offsets = _mapped(store, f"{name}.ids", r["dtype"]), _mapped(store, f"{name}.offsets", "<u8").astype(np.int64)
-            docs = np.asarray(_mapped(store, f"{name}.docs", "u1"))
-            n = len(offsets) - 1
+            n = r["n_docs"]
+            ids, offsets = _mapped(store, f"{name}.ids", r["dtype"]), _mapped(store, f"{name}.offsets", "<u8")(0, n + 1).astype(np.int64)
+            docs = _mapped(store, f"{name}.docs", "u1")(0, 9 * n)
             keys, there = docs[: 8 * n].view("<i8"), docs[8 * n :].astype(bool)
             local, k = offsets - r["base"], 0
             while k < n:
                 end = min(n, max(k + 1, int(np.searchsorted(local, local[k] + SLICE, "right")) - 1))
-                raw = np.asarray(ids[local[k] : local[end]]).astype("<u4")
+                raw = ids(local[k], local[end]).astype("<u4")
                 bounds = (local[k : end + 1] - local[k]) * 4
                 column = pa.Array.from_buffers(pa.large_binary(), end - k, [None, pa.py_buffer(bounds.astype("<i8")), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys[k:end], pa.int64(), mask=~there[k:end]), "start": offsets[k:end], "n_tokens": np.diff(offsets[k : end + 1]), "ids": column.cast(pa.binary())})
@@ -221,7 +226,10 @@ def _reader(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_tokens(index: DataFrame) -> DataFrame:
-    """The documents of written files: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
+    """The documents of written files: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit).
+
+    An index without rows gives none; documents of null or repeated ids are rows like any; very long ones come whole.
+    """
     spark: SparkSession = index.sparkSession
     tune(spark)
     n = max(1, index.count())
