@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RangeHash, mix, saved, tune
+from .common import fresh, mix, RangeHash, saved, tune
 
 #: Slots that words are hashed into: one half for whole words, the other for their shape, ending and whether they repeat the word before.
 SLOTS = 1 << 13
@@ -204,6 +204,12 @@ class QualityModel:
         self.vectors, self.network = vectors, network
 
     def score(self, docs: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
+        """docs with their score from 0 to 1 in `name`; a clashing column stays and the new one gets underscores.
+
+        Null and empty texts score alike, very long ones are taken whole, repeated rows score each for itself, and an
+        empty table gives an empty one.
+        """
+        (name,) = fresh(docs, name)
         tune(docs.sparkSession)
         model = docs.sparkSession.sparkContext.broadcast((self.vectors, self.network))
 
@@ -219,25 +225,27 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Word vectors over all texts of docs; the network on at most fit_rows labelled rows that are not held out.
 
     Only texts enter the features. Rows without a label, text or id teach nothing; null and empty texts score like
-    a text without words; a repeated label or row counts as often as it occurs. With labels of one kind only, or
+    a text without words; a repeated label or row counts as often as it occurs, the first fit_rows by the hash of
+    their id; very long texts are taken whole; columns other than those named are not looked at. With labels of one kind only, or
     none, every score is that share of ones, or 0.5.
     """
     vectors = word_vectors(docs, text)
     spark = docs.sparkSession
-    wanted = labels.select(F.col(doc_id).alias("id__"), F.col(label).cast("double").alias("y__")).where("id__ is not null and y__ is not null").where(~held_out(F.col("id__")))
-    wanted = saved(wanted.orderBy(F.xxhash64("id__"), "id__", "y__").limit(fit_rows), "fit-labels")
+    wanted = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y")).where("id is not null and y is not null").where(~held_out(F.col("id")))
+    wanted = saved(wanted.orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows), "fit-labels")
     shared = spark.sparkContext.broadcast(vectors)
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def pool(texts: pa.Array) -> pa.Array:
         return pa.array(list(pooled(texts.to_pylist(), shared.value)), pa.list_(pa.float32()))
 
-    found = docs.join(F.broadcast(wanted), docs[doc_id] == F.col("id__")).where(F.col(text).isNotNull())  # fit_rows ids and labels at most
-    sample = found.select("id__", "y__", pool(F.col(text)).alias("v__")).orderBy(F.xxhash64("id__"), "id__").limit(2 * fit_rows).toPandas()
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null")
+    found = texts.join(F.broadcast(wanted), "id")  # fit_rows ids and labels at most
+    sample = found.orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "y").limit(fit_rows).select("id", "y", pool("text").alias("v")).toPandas()
     network = Network(2 * DIMENSIONS + 1)
-    if len(sample) and sample["y__"].nunique() > 1:
-        network.fit(np.stack(sample["v__"]).astype(float), sample["y__"].to_numpy(float))
+    if len(sample) and sample["y"].nunique() > 1:
+        network.fit(np.stack(sample["v"]).astype(float), sample["y"].to_numpy(float))
     else:
-        share = min(max(sample["y__"].mean() if len(sample) else 0.5, 1e-6), 1 - 1e-6)
+        share = min(max(sample["y"].mean() if len(sample) else 0.5, 1e-6), 1 - 1e-6)
         network.p = [p * 0 for p in network.p[:3]] + [np.array([np.log(share / (1 - share))])]
     return QualityModel(vectors, network)

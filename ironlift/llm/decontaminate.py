@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, tune
+from .common import fresh, saved, tune
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
@@ -57,7 +57,7 @@ _automata: dict = {}
 
 
 def _automaton(shared):
-    """The automaton of a broadcast dictionary of windows; one is kept in each worker."""
+    """The automaton of a broadcast dictionary of windows; one is kept in each worker, as blocks take turns in passes of their own."""
     import ahocorasick
 
     if shared.id not in _automata:
@@ -107,7 +107,7 @@ def original_spans(text: str, hit: list[int]) -> list[tuple[int, int]]:
 
 
 def matcher(items: list[tuple], spark, window: int = WINDOW):
-    """An Arrow UDF: text -> MATCH, against these items. items: bounded by the caller."""
+    """An Arrow UDF: text -> MATCH, against these items, and the broadcast that it holds. items: bounded by the caller."""
     windows = windows_of(items, window)
     shared = _Shared(spark.sparkContext.broadcast(windows), f"{id(windows)}-{len(windows)}-{hash(frozenset(windows))}")
 
@@ -121,15 +121,15 @@ def matcher(items: list[tuple], spark, window: int = WINDOW):
             out.append({"n_words": n, "n_hit": len(hit), "items": ids, "spans": [{"start": s, "end": e} for s, e in original_spans(text, hit)] if hit else []})
         return pa.array(out, _ARROW)
 
-    return match
+    return match, shared.windows
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with `match`: n_words, n_hit, items (ids as sorted strings) and spans (code points of the runs of hit words).
 
     The benchmark's size is measured; up to block_bytes it is one automaton, sent to all executors. A larger
-    one is cut into blocks of that size by a hash of its ids, and each block scans all rows; their results are
-    united. A null or empty text has no words and no hits; items that are null or have no words never occur;
+    one is cut into blocks of that size by a hash of its ids, and each block scans all rows in a pass of its own, whose
+    result is written, so that driver and workers never hold more than one block; their results are united. A null or empty text has no words and no hits; items that are null or have no words never occur;
     items with equal texts all count; repeated rows each get their own result; an empty benchmark hits
     nothing. A column of docs named match stays, and the new one gets underscores appended.
     """
@@ -144,7 +144,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     for k, col in enumerate(names):
         part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         items = [(r["item"], r["text"]) for r in part.toLocalIterator()]
-        out = out.withColumn(col, matcher(items, spark, window)(F.col(text)))
+        match, held = matcher(items, spark, window)
+        out = out.withColumn(col, match(F.col(text)))
+        if blocks > 1:
+            out = saved(out, "block")
+            held.destroy()
     if blocks == 1:
         return out
     # hit words of several blocks: their spans' union, counted again in words

@@ -160,6 +160,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, length: str = "length") -> Dat
     spark = pieces.sparkSession
     part, rank, tie = fresh(pieces, "part__", "rank__", "tie__")
     names = fresh(pieces, "sequence_id", "offset", "padding")
+    base, place_ = fresh(pieces, "base__", "place__")
     rows = saved(pieces.withColumns({part: F.spark_partition_id(), tie: F.monotonically_increasing_id()}), "pieces")
     counts = saved(rows.groupBy(part, length).count(), "piece-counts")
     histogram = np.zeros(window + 1, np.int64)
@@ -184,7 +185,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, length: str = "length") -> Dat
         return pa.StructArray.from_arrays([pa.array(x) for x in out], ["sequence_id", "offset", "padding"])
 
     earlier = Window.partitionBy(length).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(part, length, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base__"))
+    bases = counts.select(part, length, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias(base))
     ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(part, length).orderBy(tie)) - 1).join(bases, [part, length])
-    placed = ranked.withColumn("place__", place(F.col(length).cast("long"), (F.col(rank) + F.col("base__")).cast("long")))
-    return placed.select(*[F.col(f"`{c}`") for c in pieces.columns], *[F.col("place__")[a].alias(b) for a, b in zip(("sequence_id", "offset", "padding"), names)])
+    placed = ranked.withColumn(place_, place(F.col(length).cast("long"), (F.col(rank) + F.col(base)).cast("long")))
+    return placed.select(*[F.col(f"`{c}`") for c in pieces.columns], *[F.col(place_)[a].alias(b) for a, b in zip(("sequence_id", "offset", "padding"), names)])
