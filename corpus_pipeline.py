@@ -1,7 +1,9 @@
 """The corpus pipeline: quality classifier, near-duplicates, benchmark decontamination, personal data, packing.
 
 Each stage takes the documents that the one before kept and returns documents (doc_id, text, lang, source, n_chars);
-the last returns pieces and their places in training sequences.
+the last returns pieces and their places in training sequences. For all stages: an empty table gives an empty one,
+repeated rows are documents of their own but for near-duplicates, very long texts are taken whole, and columns beside
+those five are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,18 +25,19 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fits the classifier on the labels and drops the documents that it rejects. A null text scores as an empty one."""
-    return fit(docs, read_table(spark, sf_dir, "labels")).score(docs, name="score__").where(F.col("score__") >= LEAST_SCORE).select(*COLUMNS)
+    """Fits the classifier on the labels and drops the documents that it rejects. A null text scores as an empty one; a score at the limit stays."""
+    docs = docs.select(*COLUMNS)
+    return fit(docs, read_table(spark, sf_dir, "labels")).score(docs, name="score").where(F.col("score") >= LEAST_SCORE).select(*COLUMNS)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each class of near-duplicates; null texts are no class's copies."""
-    return drop_near_duplicates(docs).select(*COLUMNS)
+    """Keeps the document of the smallest id of each class of near-duplicates, of equal ids the text of least digest; null texts are no class's copies and stay."""
+    return drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which a window of a benchmark item occurs; null texts have none."""
-    return decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where(F.col("match")["n_hit"] == 0).select(*COLUMNS)
+    return decontaminate(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark")).where(F.col("match")["n_hit"] == 0).select(*COLUMNS)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
