@@ -18,7 +18,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bands and rows of each: a pair at 0.8 shares none with a chance of (1 - 0.8**5)**28, about 0.000015, as signatures weigh all shingles alike.
 BANDS, ROWS = 28, 5
 #: Members of a list of rare differences up to which its possible pairs are verified one by one; a longer list is decided by what its members have in common.
-FEW = 16
+FEW = 64
 #: Words of 64 bits, a power of two, in which the parities of a difference are kept.
 ODD = 4
 
@@ -205,12 +205,13 @@ def _between(met: DataFrame, sets: DataFrame, similarity: float, few: int) -> Da
 
     A member is held as its difference to what its group has in common: at first the group's pivot, then that with
     all shingles turned round in which most members differ from it. By the triangle inequality, two of n and m shingles
-    whose differences have d and e are linked if d + e <= slack * (n + m); if not, and they are linked all the same,
-    their differences share (d + e - slack * (n + m)) / 2 shingles at least. So the members near enough to the nearest
-    one are linked to it at once, and any other must share that many with someone. Of its shingles, in the order of
-    their frequency, all but the last so many minus one then suffice to meet every partner. Who shares one of these makes a
-    list. Of a list of a few, the pairs that these bounds allow are verified; a longer one is a new group, whose
-    members all have lost the shared shingle from their differences, so that it ends.
+    whose differences have d and e are linked if d + e <= slack * (n + m); if they are linked otherwise, their
+    differences share (d + e - slack * (n + m)) / 2 shingles at least, and d - slack * (n + m). So the members near
+    enough to the nearest one, the core, are linked to it at once, and any other must share so many with someone.
+    Of its shingles, in the order of their frequency, all but the last so many minus one then suffice to meet every
+    partner. Who shares one of these makes a list. Of a list of at most `few`, those pairs are verified that these
+    bounds and the parities of their differences allow; a longer list is a new group, whose members all have lost the
+    shared shingle from their differences, so that it ends.
     """
     slack = (1 - similarity) / (1 + similarity)
     none = F.array().cast("array<bigint>")
@@ -227,13 +228,16 @@ def _between(met: DataFrame, sets: DataFrame, similarity: float, few: int) -> Da
         turned = groups.join(most, "g", "left").withColumn("turned", F.coalesce("turned", none))
         near = turned.withColumn("own", F.concat(F.array_except("own", "turned"), F.array_except("turned", "own"))).drop("turned")
         near = saved(near.withColumn("d", F.size("own")).withColumn("spare", slack * F.col("n") - F.col("d")).withColumn("odd", _odd("own")), "near")
-        nearest = near.groupBy("g").agg(F.max_by("id", "spare").alias("star"), F.max("spare").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("spare").alias("least"), F.max("n").alias("widest"))
+        nearest = near.groupBy("g").agg(F.max_by("id", "spare").alias("star"), F.max("spare").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("widest"))
         placed = near.join(nearest.where("lo <> hi"), "g").withColumn("core", F.col("spare") + F.col("most") >= -1e-6)
         found.append(placed.where("core and id <> star").select(F.col("star").alias("a"), F.col("id").alias("b")))
+        # a core member's partner is no core member, and any other's at most the nearest
+        outer = placed.where("not core").groupBy("g").agg(F.max("spare").alias("outer"))
+        placed = placed.join(outer, "g").withColumn("most", F.when(F.col("core"), F.col("outer")).otherwise(F.col("most")))
         # shingles that must be shared with someone, and who can
         widest = F.least(F.col("n") / similarity, F.col("widest"))
         must = F.ceil(F.greatest(F.lit(1.0), -(F.col("spare") + F.col("most")) / 2, F.col("d") - slack * (F.col("n") + widest)) - 1e-6).alias("must")
-        able = placed.where(F.col("least") + F.col("most") < -1e-6).select("g", "id", "root", "n", "d", "spare", "odd", "core", must).where("d >= must")
+        able = placed.select("g", "id", "root", "n", "d", "spare", "odd", "core", must).where("d >= must")
         each = saved(able.join(near.select("g", "id", "own"), ["g", "id"]).select(*able.columns, F.explode("own").alias("x")), "shared")
         k = each.groupBy("g", "x").agg(F.count("*").alias("k"), F.min("core").alias("all_core"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("not all_core and lo <> hi").select("g", "x", "k")
         ranked = each.join(k, ["g", "x"]).groupBy(*able.columns).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("xs"))
