@@ -27,10 +27,11 @@ def centre_distance(landmarks: Column) -> Column:
 
 def centre_pose(frames: DataFrame, poses: str = "poses") -> DataFrame:
     """frames with poses (an array of landmark arrays) -> landmarks, pose_idx of the most central whole pose, the first of equals; frames without one go."""
-    tagged = F.transform(poses, lambda p, i: F.struct(centre_distance(p).alias("d"), i.alias("i"), p.alias("p")))
+    tagged = F.transform(poses, lambda p, i: F.struct(centre_distance(p).alias("d"), i.alias("i")))
     whole = F.filter(tagged, lambda t: t["d"].isNotNull() & ~F.isnan(t["d"]))
-    best = F.aggregate(whole, F.get(whole, F.lit(0)), lambda a, t: F.when(t["d"] < a["d"], t).otherwise(a))
-    return frames.withColumn("best__", best).where("best__ is not null").withColumns({"landmarks": F.col("best__.p"), "pose_idx": F.col("best__.i")}).drop("best__", poses)
+    # the least (distance, index) of a frame, or no row; a generator, so that it is computed once
+    best = F.inline(F.filter(F.array(F.array_min(whole)), lambda t: t.isNotNull())).alias("centre_distance", "pose_idx")
+    return frames.select("*", best).withColumn("landmarks", F.get(poses, F.col("pose_idx"))).drop("centre_distance", poses)
 
 
 def nest(poses: DataFrame) -> DataFrame:

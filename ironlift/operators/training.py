@@ -85,7 +85,7 @@ def cross_validate(lifts: DataFrame, params: TrainingParams = TrainingParams())
     out = {}
     for name, classifier in classifiers(params).items():
         cv = CrossValidator(estimator=pipeline(classifier, n_selected(n, len(used))), estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=folds, foldCol="fold", parallelism=4)
-        out[name] = cv.fit(rows).avgMetrics[0]
+        out[name] = float(cv.fit(rows).avgMetrics[0])
     rows.unpersist()
     return out
 

@@ -250,7 +250,8 @@ def good_vs_bad(spark, d):
 
 
 def _labelled(spark, d):
-    return training.prepared(lift_features.master(_frame_rows(spark, d)))
+    """One row a lift, kept for the several passes over it that training makes."""
+    return training.prepared(lift_features.master(_frame_rows(spark, d)).persist())
 
 
 def mean_impute(spark, d):
@@ -271,12 +272,12 @@ def stratified_folds(spark, d):
 
 
 def cv_accuracy(spark, d):
-    scores = training.cross_validate(lift_features.master(_frame_rows(spark, d)))
+    scores = training.cross_validate(_labelled(spark, d))
     return spark.createDataFrame(list(scores.items()), "model string, accuracy double")
 
 
 def feature_importance(spark, d):
-    model, used = training.fit_final(lift_features.master(_frame_rows(spark, d)), "random_forest")
+    model, used = training.fit_final(_labelled(spark, d), "random_forest")
     return training.importances(spark, model, used)
 
 
@@ -337,9 +338,9 @@ ORACLE_SQL: dict[str, str] = {
     "center_pose": f"WITH {fixtures.POSES_SQL} SELECT clip, frame_idx, CAST(pose_idx AS INTEGER) AS pose_idx FROM chosen",
     "joint_angles": f"{_ANGLES} SELECT * EXCLUDE (seen) FROM angles",
     "frame_flags": f"{_ANGLES}, s AS (SELECT *, round_even(abs(left_elbow_angle - right_elbow_angle) * 10, 0) / 10 AS symmetry_diff FROM angles) SELECT clip, frame, symmetry_diff, CAST(symmetry_diff > 15 AS INTEGER) AS asymmetry_flag, CAST(left_elbow_angle < 160 OR right_elbow_angle < 160 AS INTEGER) AS lockout_flag, CAST(seen < 0.5 AS INTEGER) AS low_visibility_flag FROM s",
-    "wrist_heights": f"{_FRAMES} SELECT source_file, frame, left_wrist_y, right_wrist_y, avg_wrist_y FROM frames",
-    "deviation_category": f"{_FRAMES} SELECT source_file, frame, CASE WHEN symmetry_diff > 15 THEN 'red' ELSE 'green' END AS category FROM frames",
-    "parse_lift_id": f"{_FRAMES} SELECT DISTINCT source_file, regexp_extract(source_file, '^([0-9]+)', 1) AS number, lift_id, label, view FROM frames",
+    "wrist_heights": f"{_FRAMES} SELECT source_file, frame, left_wrist_y, right_wrist_y, avg_wrist_y FROM all_frames",
+    "deviation_category": f"{_FRAMES} SELECT source_file, frame, CASE WHEN symmetry_diff > 15 THEN 'red' ELSE 'green' END AS category FROM all_frames",
+    "parse_lift_id": f"{_FRAMES} SELECT DISTINCT source_file, regexp_extract(source_file, '^([0-9]+)', 1) AS number, lift_id, label, view FROM all_frames",
     "phase_windows": f"{_FRAMES} SELECT source_file, frame, position, n, phase FROM frames",
     "lockout_frame": f"{_FRAMES}, {_LOCKOUT} SELECT source_file, position, n FROM snap",
     **{f"elbow_features_{v}": f"{_FRAMES}, {_LOCKOUT}, {_elbow_sql(v)} SELECT lift_id, {_round_sql(*elbow_features(v))} FROM {v}_rows" for v in ELBOW_VIEWS},
@@ -347,8 +348,8 @@ ORACLE_SQL: dict[str, str] = {
     "label_map": f"{_FRAMES} SELECT DISTINCT lift_id, label FROM frames WHERE label IS NOT NULL",
     "master_dataset": f"{_MASTER} SELECT lift_id, {_round_sql(*FEATURES)}, label FROM master",
     "master_ordered": f"{_MASTER} SELECT lift_id, label FROM master ORDER BY CAST(regexp_extract(lift_id, '^([0-9]+)', 1) AS BIGINT), lift_id",
-    "clip_summary": f"{_FRAMES} SELECT source_file, count(*) AS frames, round(avg(left_elbow_angle), 6) AS avg_left_elbow, round(avg(right_elbow_angle), 6) AS avg_right_elbow, round(avg(symmetry_diff), 6) AS avg_symmetry, CAST(sum(asymmetry_flag) AS BIGINT) AS asymmetry_frames, CAST(sum(lockout_flag) AS BIGINT) AS lockout_frames FROM frames GROUP BY source_file",
-    "clip_chart_stats": f"{_FRAMES} SELECT source_file, {_MEANS}, round(avg(symmetry_diff), 6) AS avg_symmetry, max(symmetry_diff) AS max_symmetry, round(greatest(max(symmetry_diff) + 5, 30), 6) AS axis_top FROM frames GROUP BY source_file",
+    "clip_summary": f"{_FRAMES} SELECT source_file, count(*) AS frames, round(avg(left_elbow_angle), 6) AS avg_left_elbow, round(avg(right_elbow_angle), 6) AS avg_right_elbow, round(avg(symmetry_diff), 6) AS avg_symmetry, CAST(sum(asymmetry_flag) AS BIGINT) AS asymmetry_frames, CAST(sum(lockout_flag) AS BIGINT) AS lockout_frames FROM all_frames GROUP BY source_file",
+    "clip_chart_stats": f"{_FRAMES} SELECT source_file, {_MEANS}, round(avg(symmetry_diff), 6) AS avg_symmetry, max(symmetry_diff) AS max_symmetry, round(greatest(max(symmetry_diff) + 5, 30), 6) AS axis_top FROM all_frames GROUP BY source_file",
     "video_inventory": f"WITH {fixtures.INVENTORY_SQL} SELECT file_name, stem, view FROM clips WHERE user_id % 4 <> 2",
     "batch_summary": f"WITH {fixtures.INVENTORY_SQL}, m AS (SELECT c.*, d.stem IS NOT NULL AS done FROM clips c LEFT JOIN done d ON c.stem = d.stem AND c.view = d.view WHERE user_id % 4 <> 2) SELECT view, count(*) AS total, count_if(NOT done) AS processed, count_if(done) AS skipped, count_if(NOT done AND contains(lower(stem), 'good')) AS good, count_if(NOT done AND contains(lower(stem), 'bad')) AS bad FROM m GROUP BY view",
     "skip_processed": f"WITH {fixtures.INVENTORY_SQL} SELECT file_name, stem, view FROM clips c WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.stem = c.stem AND d.view = c.view)",

@@ -27,13 +27,13 @@ def raw_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_file and FRAME_ANGLES for all clips but every tenth."""
+    """source_file and FRAME_ANGLES; the file name of every tenth clip tells no view, so that lifts miss views."""
     e, u = F.col("event_id"), F.col("user_id")
     number = F.floor(u / 3) + 1
     word = F.when(number % 11 == 0, "lift").when(number % 2 == 0, "Good").otherwise("bad")
     view = F.when(u % 3 == 0, "side").when(u % 3 == 1, "front").otherwise("angle")
-    rows = _numbered(spark, sf_dir).where(u % 10 != 9).select(
-        F.concat(number.cast("string"), word, F.when(u % 7 == 0, "a").otherwise(""), F.lit("_"), view, F.lit(".csv")).alias("source_file"), (1 + 3 * F.col("k")).cast("long").alias("frame"),
+    rows = _numbered(spark, sf_dir).select(
+        F.concat(number.cast("string"), word, F.when(u % 7 == 0, "a").otherwise(""), F.lit("_"), F.when(u % 10 == 9, "whole").otherwise(view), F.lit(".csv")).alias("source_file"), (1 + 3 * F.col("k")).cast("long").alias("frame"),
         (((e * 37) % 1800) / 10.0).alias("left_elbow_angle"), (((e * 53 + u * 11) % 1800) / 10.0).alias("right_elbow_angle"),
         (((e * 17) % 1800) / 10.0).alias("left_shoulder_angle"), (((e * 29) % 1800) / 10.0).alias("right_shoulder_angle"),
         (((e * 41) % 19200) / 10.0).alias("left_wrist_y"), (((e * 43 + u) % 19200) / 10.0).alias("right_wrist_y"), (e % 4 == 0).cast("int").alias("low_visibility_flag"))
@@ -82,28 +82,29 @@ _VIEW_SQL = "CASE user_id % 3 WHEN 0 THEN 'side' WHEN 1 THEN 'front' ELSE 'angle
 
 
 FRAMES_SQL = f"""base AS (
-  SELECT concat({_NAME_SQL}, CASE WHEN user_id % 7 = 0 THEN 'a' ELSE '' END, '_', {_VIEW_SQL}, '.csv') AS source_file,
+  SELECT concat({_NAME_SQL}, CASE WHEN user_id % 7 = 0 THEN 'a' ELSE '' END, '_', CASE WHEN user_id % 10 = 9 THEN 'whole' ELSE {_VIEW_SQL} END, '.csv') AS source_file,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position, 1 + 3 * (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) AS frame,
     ((event_id * 37) % 1800) / 10.0::DOUBLE AS left_elbow_angle, ((event_id * 53 + user_id * 11) % 1800) / 10.0::DOUBLE AS right_elbow_angle,
     ((event_id * 17) % 1800) / 10.0::DOUBLE AS left_shoulder_angle, ((event_id * 29) % 1800) / 10.0::DOUBLE AS right_shoulder_angle,
     (event_id * 41) % 19200 AS ly, (event_id * 43 + user_id) % 19200 AS ry,
     CAST(event_id % 4 = 0 AS INTEGER) AS low_visibility_flag, count(*) OVER (PARTITION BY user_id) AS n
-  FROM events WHERE user_id % 10 <> 9),
+  FROM events),
 heights AS (
   SELECT *, ly / 10.0::DOUBLE AS left_wrist_y, ry / 10.0::DOUBLE AS right_wrist_y, (ly / 10.0::DOUBLE + ry / 10.0::DOUBLE) / 2 AS mean_y,
     round_even(abs(left_elbow_angle - right_elbow_angle) * 10, 0) / 10 AS symmetry_diff FROM base),
 split AS (SELECT *, mean_y * 16 AS p, mean_y * 4 AS q FROM heights),
 sums AS (SELECT *, p + q AS s, (p + q) - p AS b FROM split),
 rests AS (SELECT *, (p - (s - b)) + (q - b) AS e, floor(s / 2) AS k FROM sums),
-frames AS (
+all_frames AS (
   SELECT * EXCLUDE (ly, ry, p, q, s, b, e, k, mean_y),
     (k + CASE WHEN (s - 2 * k - 1) + e > 0 OR ((s - 2 * k - 1) + e = 0 AND abs(k % 2) = 1) THEN 1 ELSE 0 END) / 10 AS avg_wrist_y,
     CAST(symmetry_diff > 15 AS INTEGER) AS asymmetry_flag, CAST(left_elbow_angle < 160 OR right_elbow_angle < 160 AS INTEGER) AS lockout_flag,
     CASE WHEN position < n // 3 THEN 'early' WHEN position < 2 * n // 3 THEN 'middle' ELSE 'final' END AS phase,
-    regexp_extract(lower(source_file), '_(side|front|angle)\\.csv$', 1) AS view,
+    nullif(regexp_extract(lower(source_file), '_(side|front|angle)\\.csv$', 1), '') AS view,
     concat(regexp_extract(source_file, '^([0-9]+)', 1), CASE WHEN contains(lower(source_file), 'good') THEN 'good' WHEN contains(lower(source_file), 'bad') THEN 'bad' ELSE 'unlabeled' END) AS lift_id,
     CASE WHEN contains(lower(source_file), 'good') THEN 0 WHEN contains(lower(source_file), 'bad') THEN 1 END AS label
-  FROM rests)"""
+  FROM rests),
+frames AS (SELECT * FROM all_frames WHERE view IS NOT NULL)"""
 
 #: Poses flattened: one row for each landmark.
 POSES_SQL = """numbered AS (

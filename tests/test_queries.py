@@ -5,6 +5,8 @@ import math
 import duckdb
 import pytest
 
+from ironlift.operators.training import classifiers, n_selected
+
 from ironlift.plans.registry import ORACLE_SQL, QUERIES
 
 D = "/root/testdata/sf0.001"
@@ -33,3 +35,12 @@ def test_against_sql(spark, duck, name):
     assert len(got) == len(want) > 0
     for a, b in zip(got, want):
         assert a == b
+
+
+def test_training_queries(spark):
+    scores = {r.model: r.accuracy for r in QUERIES["cv_accuracy"](spark, D).collect()}
+    assert set(scores) == set(classifiers()) and all(0 <= x <= 1 for x in scores.values())
+    ranked = QUERIES["feature_importance"](spark, D).collect()
+    weights = [r.importance for r in ranked]
+    lifts = QUERIES["master_ordered"](spark, D).where("label is not null").count()
+    assert len(ranked) == n_selected(lifts) and weights == sorted(weights, reverse=True) and abs(sum(weights) - 1) < 1e-9
