@@ -56,7 +56,7 @@ def test_outliers_of_a_group(spark):
     rows += [(1000 + k, " ".join(word() + "###" for _ in range(200)), "en", "hot") for k in range(40)]
     rows += [(2000, " ".join(word() + "###" for _ in range(200)), "en", "small")]
     kept = {r.doc_id: r.kept for r in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(kept[k] for k in range(300)) and not any(kept[1000 + k] for k in range(40)) and kept[2000]
+    assert all(kept[k] for k in range(300)) and not any(kept[1000 + k] for k in range(40)) and not kept[2000]
 
 
 def test_outliers_of_small_groups(spark):
