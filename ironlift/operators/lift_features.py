@@ -78,9 +78,9 @@ def master(frames: DataFrame) -> DataFrame:
     return out.select("lift_id", *FEATURES, label_of(F.regexp_extract("lift_id", "(good|bad|unlabeled)$", 1)).alias("label"))
 
 
-def label_map(frames: DataFrame) -> DataFrame:
-    """lift_id and label of every file that has one, whether or not it has rows of its own."""
-    return identify(frames).where("label is not null").select("lift_id", "label").distinct()
+def label_map(files: DataFrame) -> DataFrame:
+    """files (source_file), an inventory or frame rows -> lift_id and label of every file of a view whose name tells a label, with or without rows of its own."""
+    return parsed_names(files).where("label is not null and view is not null").select("lift_id", "label").distinct()
 
 
 def ordered(lifts: DataFrame) -> DataFrame:

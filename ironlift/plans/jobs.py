@@ -39,7 +39,7 @@ def run_lifts(spark: SparkSession, frame_rows: DataFrame | None, out: str, clean
     clean replaces earlier frame tables, else rows are added; skip_frames starts from those already written.
     """
     if not skip_frames:
-        frame_rows.write.mode("overwrite" if clean else "append").parquet(f"{out}/frames")
+        tables.write_frames(frame_rows, f"{out}/frames", "overwrite" if clean else "append")
     lifts = lift_features.master(spark.read.parquet(f"{out}/frames"))
     tables.write_lifts(lifts, f"{out}/lifts")
     lifts = spark.read.parquet(f"{out}/lifts")

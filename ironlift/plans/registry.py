@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 from ..functions.columns import deviation_category
 from ..functions.smoothing import fit_weights
 from ..operators import bar_path, frames, lift_features, reports, training
-from ..schemas import BAR_FEATURES, ELBOW_VIEWS, FEATURES, FRONT_FEATURES, PHASES, SIDES, elbow_features
-from ..sources import fixtures
+from ..schemas import BAR_FEATURES, ELBOW_VIEWS, FEATURES, FRAME_ANGLES, FRONT_FEATURES, PHASES, SIDES, elbow_features
+from ..params import BarPathParams
+from ..sources import fixtures, tables
+from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,17 +72,32 @@ def bar_path_features(spark, d):
 
 
 def append_features(spark, d):
-    one = bar_path.features(bar_path.clean(_raw(spark, d))).select("video_id", "total_path_length")
-    return rounded(one.unionByName(one))
+    """Two runs that append the same features."""
+    path = tables.shared_folder(spark)
+    for _ in range(2):
+        tables.append(bar_path.features(bar_path.clean(_raw(spark, d))), path)
+    return rounded(spark.read.parquet(path))
+
+
+def written_cleaned(spark, d):
+    """Written twice: the second run replaces the first one's videos."""
+    path = tables.shared_folder(spark)
+    for _ in range(2):
+        tables.write_cleaned(bar_path.clean(_raw(spark, d)).drop("position", "n"), path)
+    return rounded(tables.read_cleaned(spark, path).select("video_id", "frame_id", "bar_x", "bar_y", "x", "y"))
+
+
+def job_bar_paths(spark, d):
+    return rounded(jobs.run_bar_paths(_raw(spark, d), tables.shared_folder(spark)))
 
 
 def all_clip_features(spark, d):
     """Clips without a row that passes a strict filter get zeros."""
     raw = _raw(spark, d)
-    strict = raw.where(F.pmod(F.substring("video_id", 5, 9).cast("int"), F.lit(4)) != 0)
-    return rounded(bar_path.features_of_all(raw, bar_path.features(bar_path.clean(strict))))
+    return rounded(bar_path.features_of_all(raw, bar_path.features(bar_path.clean(raw, BarPathParams(visibility=_STRICT)))))
 
 
+_STRICT = 0.8
 _VISIBLE = "pos AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_id) - 1 AS position, count(*) OVER (PARTITION BY video_id) AS n FROM raw WHERE left_visibility >= 0.5 AND right_visibility >= 0.5)"
 
 
@@ -126,7 +143,7 @@ def _round_sql(*names: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in names)
 
 
-_ALL_FEATURES = f"""{_FEATURES} SELECT c.video_id, {', '.join(f'round(CASE WHEN CAST(substr(c.video_id, 5) AS INTEGER) % 4 <> 0 THEN coalesce({c}, 0) ELSE 0 END, 6) AS {c}' for c in BAR_FEATURES)}
+_ALL_FEATURES = f"""{_FEATURES.replace('visibility >= 0.5', f'visibility >= {_STRICT}')} SELECT c.video_id, {', '.join(f'round(coalesce({c}, 0), 6) AS {c}' for c in BAR_FEATURES)}
   FROM (SELECT DISTINCT video_id FROM raw) c LEFT JOIN final f ON c.video_id = f.video_id"""
 
 # frames
@@ -156,6 +173,10 @@ def frame_flags(spark, d):
     return frames.frame_angles(_nested(spark, d)).select("clip", "frame", "symmetry_diff", "asymmetry_flag", "lockout_flag", "low_visibility_flag")
 
 
+def job_frames(spark, d):
+    return jobs.run_frames(_nested(spark, d), *fixtures.inventory(spark, d, by_clip=True)).select("clip", "view", "source_file", "frame", "symmetry_diff", "asymmetry_flag", "lockout_flag", "low_visibility_flag")
+
+
 def wrist_heights(spark, d):
     return fixtures.frame_tables(spark, d).select("source_file", "frame", "left_wrist_y", "right_wrist_y", "avg_wrist_y")
 
@@ -210,7 +231,35 @@ def front_features(spark, d):
 
 
 def label_map(spark, d):
-    return lift_features.label_map(_frame_rows(spark, d))
+    """Of all clips of the inventory, most of which have no frames yet."""
+    clips, _ = fixtures.inventory(spark, d)
+    return lift_features.label_map(clips.select(F.concat("stem", F.lit("_"), "view", F.lit(".csv")).alias("source_file")))
+
+
+def frame_csv(spark, d):
+    """Frame tables as CSV files, read with the explicit schema."""
+    path, names = tables.shared_folder(spark), FRAME_ANGLES.names
+    _frame_rows(spark, d).select(*names).write.option("header", True).csv(path)
+    return tables.read_frames(spark, path).select(*names)
+
+
+def frames_by_view(spark, d):
+    path = tables.shared_folder(spark)
+    tables.write_frames(_frame_rows(spark, d), path)
+    return spark.read.parquet(path).select("view", "source_file", "frame", "symmetry_diff", "avg_wrist_y")
+
+
+def written_lifts(spark, d):
+    path = tables.shared_folder(spark)
+    tables.write_lifts(lift_features.master(_frame_rows(spark, d)), path)
+    return rounded(spark.read.parquet(path))
+
+
+def job_lifts(spark, d):
+    """Frames to lifts, models and the comparison, which is returned."""
+    path = tables.shared_folder(spark)
+    jobs.run_lifts(spark, _frame_rows(spark, d), path, clean=True)
+    return rounded(spark.read.parquet(f"{path}/comparison"))
 
 
 def master_dataset(spark, d):
@@ -317,6 +366,8 @@ QUERIES: dict[str, Query] = {
     "video_inventory": video_inventory, "batch_summary": batch_summary, "skip_processed": skip_processed, "master_summary": master_summary, "good_vs_bad": good_vs_bad,
     "mean_impute": mean_impute, "anova_f": anova_f, "top_k_features": top_k_features, "stratified_folds": stratified_folds,
     "cv_accuracy": cv_accuracy, "feature_importance": feature_importance,
+    "written_cleaned": written_cleaned, "frame_csv": frame_csv, "frames_by_view": frames_by_view, "written_lifts": written_lifts,
+    "job_bar_paths": job_bar_paths, "job_frames": job_frames, "job_lifts": job_lifts,
 }
 
 _WRISTS = ", ".join(f"coalesce(max(CASE WHEN i = {i} THEN {v} END), 0) AS {n}" for s, i in (("left", 15), ("right", 16)) for v, n in (("x", f"{s}_wrist_x"), ("y", f"{s}_wrist_y"), ("visibility", f"{s}_visibility")))
@@ -331,7 +382,7 @@ ORACLE_SQL: dict[str, str] = {
     "cleaned_bar_path": f"{_CLEANED} SELECT video_id, frame_id, {_round_sql('bar_x', 'bar_y', 'x', 'y')} FROM cleaned",
     "line_deviation": f"{_DEVIATION} SELECT video_id, frame_id, {_round_sql('deviation')} FROM deviations",
     "bar_path_features": f"{_FEATURES} SELECT video_id, {_round_sql(*BAR_FEATURES)} FROM final",
-    "append_features": f"{_FEATURES}, t AS (SELECT video_id, {_round_sql('total_path_length')} FROM final) SELECT * FROM t UNION ALL SELECT * FROM t",
+    "append_features": f"{_FEATURES}, t AS (SELECT video_id, {_round_sql(*BAR_FEATURES)} FROM final) SELECT * FROM t UNION ALL SELECT * FROM t",
     "all_clip_features": _ALL_FEATURES,
     "frame_sampling": f"WITH {fixtures.POSES_SQL} SELECT concat('clip', user_id) AS clip, frame_idx, frame_idx + 1 AS frame FROM numbered WHERE frame_idx % 3 = 0",
     "frame_timestamp": f"WITH {fixtures.POSES_SQL} SELECT concat('clip', user_id) AS clip, frame_idx + 1 AS frame, CAST(floor(frame_idx / (CASE WHEN user_id % 4 <> 0 THEN 25.0::DOUBLE ELSE 30.0::DOUBLE END) * 1000) AS BIGINT) AS ms FROM numbered",
@@ -345,7 +396,7 @@ ORACLE_SQL: dict[str, str] = {
     "lockout_frame": f"{_FRAMES}, {_LOCKOUT} SELECT source_file, position, n FROM snap",
     **{f"elbow_features_{v}": f"{_FRAMES}, {_LOCKOUT}, {_elbow_sql(v)} SELECT lift_id, {_round_sql(*elbow_features(v))} FROM {v}_rows" for v in ELBOW_VIEWS},
     "front_features": f"{_FRAMES}, {_LOCKOUT}, {_FRONT} SELECT lift_id, {_round_sql(*FRONT_FEATURES)} FROM front_rows",
-    "label_map": f"{_FRAMES} SELECT DISTINCT lift_id, label FROM frames WHERE label IS NOT NULL",
+    "label_map": f"WITH {fixtures.INVENTORY_SQL}, named AS (SELECT concat(regexp_extract(stem, '^([0-9]+)', 1), CASE WHEN contains(stem, 'Good') THEN 'good' WHEN contains(stem, 'bad') THEN 'bad' END) AS lift_id, CASE WHEN contains(stem, 'Good') THEN 0 WHEN contains(stem, 'bad') THEN 1 END AS label FROM clips) SELECT DISTINCT lift_id, label FROM named WHERE label IS NOT NULL",
     "master_dataset": f"{_MASTER} SELECT lift_id, {_round_sql(*FEATURES)}, label FROM master",
     "master_ordered": f"{_MASTER} SELECT lift_id, label FROM master ORDER BY CAST(regexp_extract(lift_id, '^([0-9]+)', 1) AS BIGINT), lift_id",
     "clip_summary": f"{_FRAMES} SELECT source_file, count(*) AS frames, round(avg(left_elbow_angle), 6) AS avg_left_elbow, round(avg(right_elbow_angle), 6) AS avg_right_elbow, round(avg(symmetry_diff), 6) AS avg_symmetry, CAST(sum(asymmetry_flag) AS BIGINT) AS asymmetry_frames, CAST(sum(lockout_flag) AS BIGINT) AS lockout_frames FROM all_frames GROUP BY source_file",
@@ -360,3 +411,12 @@ ORACLE_SQL: dict[str, str] = {
     "top_k_features": f"{_ANOVA} SELECT feature, round(f, 6) AS f FROM anova WHERE f IS NOT NULL ORDER BY anova.f DESC, feature LIMIT (SELECT greatest(3, least(8, count(*) // 2)) FROM known)",
     "stratified_folds": f"{_MASTER}, known AS (SELECT lift_id, label FROM master WHERE label IS NOT NULL) SELECT lift_id, label, CAST(CASE WHEN (SELECT count(*) FROM known) <= 20 THEN row_number() OVER (ORDER BY md5(lift_id), lift_id) - 1 ELSE (row_number() OVER (PARTITION BY label ORDER BY md5(lift_id), lift_id) - 1) % 5 END AS INTEGER) AS fold FROM known",
 }
+ORACLE_SQL |= {
+    "written_cleaned": ORACLE_SQL["cleaned_bar_path"],
+    "job_bar_paths": ORACLE_SQL["bar_path_features"],
+    "frame_csv": f"{_FRAMES} SELECT {', '.join(FRAME_ANGLES.names)} FROM all_frames",
+    "frames_by_view": f"{_FRAMES} SELECT view, source_file, frame, symmetry_diff, avg_wrist_y FROM all_frames",
+    "written_lifts": ORACLE_SQL["master_dataset"],
+    "job_frames": f"WITH {fixtures.INVENTORY_SQL}, flags AS ({ORACLE_SQL['frame_flags']}) SELECT clip, view, concat(clip, '_', view, '.csv') AS source_file, frame, symmetry_diff, asymmetry_flag, lockout_flag, low_visibility_flag FROM flags JOIN clips ON clip = concat('clip', user_id) WHERE user_id % 4 <> 2 AND user_id % 5 <> 0",
+    "job_lifts": ORACLE_SQL["good_vs_bad"],
+}

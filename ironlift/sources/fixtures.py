@@ -55,13 +55,13 @@ def nested_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(u % 4 != 0, 25.0).otherwise(0.0).alias("fps"), F.transform(F.sequence(F.lit(0), last.cast("int")), pose).alias("poses"))
 
 
-def inventory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Clips (file_name, stem, view) and those that are done (stem, view)."""
+def inventory(spark: SparkSession, sf_dir: str, by_clip: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Clips (file_name, stem, view) and those that are done (stem, view); stems are lifts' names, or the clips of nested_poses."""
     u = F.col("user_id")
     number = F.floor(u / 3) + 1
     word = F.when(number % 11 == 0, "lift").when(number % 2 == 0, "Good").otherwise("bad")
     view = F.when(u % 3 == 0, "side").when(u % 3 == 1, "front").otherwise("angle")
-    stem = F.concat(number.cast("string"), word)
+    stem = F.concat(F.lit("clip"), u.cast("string")) if by_clip else F.concat(number.cast("string"), word)
     end = F.when(u % 4 == 0, ".mp4").when(u % 4 == 1, ".MOV").when(u % 4 == 2, ".txt").otherwise(".mkv")
     clips = events(spark, sf_dir).select("user_id").distinct().select("user_id", F.concat(stem, end).alias("file_name"), stem.alias("stem"), view.alias("view"))
     return clips.drop("user_id"), clips.where(u % 5 == 0).select("stem", "view")

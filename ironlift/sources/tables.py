@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import view_of
 from ..schemas import FRAME_ANGLES, POSES, RAW_LANDMARKS
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name below spark.checkpoint.dir; without that setting below the temporary folder, on a local master only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
+    return f"{root.rstrip('/')}/lifts-{uuid.uuid4().hex}"
+
+
 def read_frames(spark: SparkSession, folder: str) -> DataFrame:
     """All per-frame CSV files of a folder in one scan, with source_file; columns that a file lacks are null, by name and not by place."""
     raw = spark.read.schema(FRAME_ANGLES).option("header", True).option("enforceSchema", False).option("pathGlobFilter", "*.csv").csv(folder)
@@ -30,18 +45,37 @@ def list_videos(spark: SparkSession, folder: str, view: str) -> DataFrame:
     return files.select(name.alias("file_name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.lit(view).alias("view"))
 
 
-def write_partitioned(rows: DataFrame, path: str, *by: str) -> None:
-    """Overwrites the partitions that rows have, and no others."""
-    rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def write_cleaned(cleaned: DataFrame, *paths: str, parts: int = 64) -> None:
+    """Under each path, `parts` folders by a hash of video_id; rows there are sorted by video. A video's earlier rows are replaced, other videos stay.
+
+    So the number of folders does not grow with the videos. `parts` is the table's: choose it once, for about a gigabyte a part.
+    """
+    spark = cleaned.sparkSession
+    rows = cleaned.withColumn("part", F.pmod(F.xxhash64("video_id"), F.lit(parts)).cast("int"))
+    for path in paths:
+        out, old = rows, _existing(spark, path)
+        if old is not None:
+            touched = rows.select("part").distinct()
+            out = out.unionByName(old.join(touched, "part", "left_semi").join(rows.select("video_id").distinct(), "video_id", "left_anti"))
+        out.repartition("part").sortWithinPartitions("part", "video_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def read_cleaned(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("part")
 
 
-def write_cleaned(cleaned: DataFrame, *paths: str) -> None:
-    """A folder per video under each path; the cleaned rows are computed once and copied."""
-    first, *rest = paths
-    write_partitioned(cleaned, first, "video_id")
-    videos = cleaned.select("video_id").distinct()
-    for path in rest:
-        write_partitioned(cleaned.sparkSession.read.schema(cleaned.schema).parquet(first).join(videos, "video_id", "left_semi"), path, "video_id")
+def write_frames(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Frame tables in a folder per view, as their source_file tells it."""
+    rows.withColumn("view", view_of(F.col("source_file"))).write.mode(mode).partitionBy("view").parquet(path)
 
 
 def append(rows: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ironlift.functions.columns import exact_tenth, label_of, lift_id_of, present, tenth, view_of
 from ironlift.functions.smoothing import fit_weights
@@ -111,7 +112,7 @@ def frame_rows(spark, clips):
         for k in range(n):
             r = {"source_file": name, "frame": 1 + 3 * k, "left_elbow_angle": 100.0 + k, "right_elbow_angle": 90.0 + 2 * k, "left_shoulder_angle": 1.0, "right_shoulder_angle": 1.0, "symmetry_diff": float(k), "left_wrist_y": 1.0, "right_wrist_y": 1.0, "avg_wrist_y": float((k - 2) ** 2), "asymmetry_flag": k % 2, "lockout_flag": 1, "low_visibility_flag": 0}
             out.append(r | more)
-    return spark.createDataFrame(out, FRAME_ANGLES.add("source_file", "string") if "source_file" not in FRAME_ANGLES.fieldNames() else FRAME_ANGLES)
+    return spark.createDataFrame(out, T.StructType([*FRAME_ANGLES.fields, T.StructField("source_file", T.StringType())]) if "source_file" not in FRAME_ANGLES.fieldNames() else FRAME_ANGLES)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 6, 7, 8])
@@ -200,3 +201,11 @@ def test_lift_job(spark, tmp_path):
     inventory = spark.createDataFrame([("1good.mp4", "1good", "side"), ("2bad.mp4", "2bad", "side")], "file_name string, stem string, view string")
     done = spark.createDataFrame([("2bad", "side")], "stem string, view string")
     assert [r.source_file for r in run_frames(nested, inventory, done, "side").collect()] == ["1good_side.csv"]
+
+
+def test_cleaned_rows_of_a_video_are_replaced(spark, tmp_path):
+    out = f"file://{tmp_path}/cleaned"
+    rows = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 1.0), ("b", 1, 2.0)], "video_id string, frame_id long, x double")
+    tables.write_cleaned(rows, out, parts=1)
+    tables.write_cleaned(rows.where("frame_id = 1 and video_id = 'a'").withColumn("x", F.lit(9.0)), out, parts=1)
+    assert sorted(tuple(r) for r in tables.read_cleaned(spark, out).select("video_id", "frame_id", "x").collect()) == [("a", 1, 9.0), ("b", 1, 2.0)]
