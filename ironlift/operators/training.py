@@ -48,12 +48,19 @@ def top_features(lifts: DataFrame, f_values: DataFrame) -> DataFrame:
 
 
 def with_folds(lifts: DataFrame, params: TrainingParams = TrainingParams()) -> DataFrame:
-    """lifts with fold: few lifts are a fold each, more are dealt to folds in turn within each label, in the order of their ids' hashes."""
+    """lifts with fold: few lifts are a fold each, more are dealt to folds in turn within each label, in the order of their ids' hashes.
+
+    A label's lifts are ranked within slices of the hash, and counts of the slices before are added, so that no task holds a whole label.
+    """
     n = lifts.count()
     order = [F.md5("lift_id"), "lift_id"]
     if n <= params.leave_one_out:
         return lifts.withColumn("fold", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) - 1).cast("int"))
-    return lifts.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy("label").orderBy(*order)) - 1, F.lit(params.folds)).cast("int"))
+    sliced = lifts.withColumn("slice__", F.coalesce(F.substring(F.md5("lift_id"), 1, 3), F.lit("")))
+    earlier = F.sum("k__").over(Window.partitionBy("label").orderBy("slice__").rowsBetween(Window.unboundedPreceding, -1))
+    before = sliced.groupBy("label", "slice__").agg(F.count("*").alias("k__")).withColumn("before__", F.coalesce(earlier, F.lit(0))).drop("k__")
+    rank = F.row_number().over(Window.partitionBy("label", "slice__").orderBy(*order)) - 1
+    return sliced.withColumn("rank__", rank).join(before, ["label", "slice__"]).withColumn("fold", F.pmod(F.col("rank__") + F.col("before__"), F.lit(params.folds)).cast("int")).select(*lifts.columns, "fold")
 
 
 def classifiers(params: TrainingParams = TrainingParams()) -> dict:
