@@ -76,9 +76,14 @@ def _root(stats: DataFrame) -> DataFrame:
     return out
 
 
-def _distance(rows: DataFrame, root: DataFrame) -> DataFrame:
-    """rows with the squared Mahalanobis distance d to their group's mean; null where the group has none."""
-    out = rows.join(root, "group__", "left")
+def _of_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with what their group has; a group's rows are dealt by their salts, its one row is copied for each of these."""
+    copied = groups.select("*", F.explode(F.sequence(F.lit(0), F.col("splits__") - 1)).alias("salt__"))
+    return rows.join(copied.drop("splits__"), ["group__", "salt__"])
+
+
+def _distance(out: DataFrame) -> DataFrame:
+    """Rows with their group's m1..m4 and l11..l44 -> with the squared Mahalanobis distance d to its mean; null where the group has none."""
     for i in range(1, 5):
         y = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(1, i):
@@ -88,42 +93,48 @@ def _distance(rows: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("group__").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(_X, 1)], *[F.covar_pop(_X[i - 1], _X[j - 1]).alias(f"c{i}{j}") for i in range(1, 5) for j in range(1, i + 1)])
+    return rows.groupBy("group__").agg(F.max("splits__").alias("splits__"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(_X, 1)], *[F.covar_pop(_X[i - 1], _X[j - 1]).alias(f"c{i}{j}") for i in range(1, 5) for j in range(1, i + 1)])
 
 
 def judge(rows: DataFrame) -> DataFrame:
-    """Minimum covariance determinant: rows (group__, x1..x4) -> group__, m1..m4, l11..l44, scale.
+    """Minimum covariance determinant: rows (group__, salt__, splits__, x1..x4) -> group__, m1..m4, l11..l44, scale.
 
-    Medians come from mergeable sketches and moments from partial sums, so a group with most of all rows is
-    never in one task.
+    Medians come from mergeable sketches and moments from partial sums, and joins are dealt by group and salt, so a
+    group with most of all rows is never in one task.
     """
-    middle = rows.groupBy("group__").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"p{i}") for i, x in enumerate(_X, 1)])
+    splits = F.max("splits__").alias("splits__")
+    middle = rows.groupBy("group__").agg(splits, *[F.percentile_approx(x, 0.5, 10_000).alias(f"p{i}") for i, x in enumerate(_X, 1)])
     middle = saved(middle, "medians")
-    off = rows.join(middle, "group__")
+    off = _of_group(rows, middle)
     spread = off.groupBy("group__").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"p{i}")), 0.5, 10_000).alias(f"s{i}") for i, x in enumerate(_X, 1)])
     start = middle.join(spread, "group__")
-    root = saved(start.select("group__", *[F.col(f"p{i}").alias(f"m{i}") for i in range(1, 5)], *[(F.sqrt((1.4826 * F.col(f"s{i}")) ** 2 + FLOORS[i - 1] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(1, 5) for j in range(1, i + 1)]), "mcd")
+    root = saved(start.select("group__", "splits__", *[F.col(f"p{i}").alias(f"m{i}") for i in range(1, 5)], *[(F.sqrt((1.4826 * F.col(f"s{i}")) ** 2 + FLOORS[i - 1] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(1, 5) for j in range(1, i + 1)]), "mcd")
     for _ in range(STEPS):
-        far = _distance(rows, root).where("d is not null").select("group__", *_X, "d")
-        edge = saved(far.groupBy("group__").agg(F.percentile_approx("d", SHARE, 10_000).alias("edge__")), "mcd-edge")
-        root = saved(_root(_moments(far.join(edge, "group__").where("d <= edge__"))).select(root.columns), "mcd")
-    scale = _distance(rows, root).where("d is not null").groupBy("group__").agg(F.greatest(F.percentile_approx("d", 0.5, 10_000) / MEDIAN_CHI2, F.lit(LEAST_SCALE)).alias("scale"))
-    return saved(root.join(scale, "group__"), "mcd-scale")
+        far = _distance(_of_group(rows, root)).where("d is not null").select("group__", "salt__", "splits__", *_X, "d")
+        edge = saved(far.groupBy("group__").agg(F.percentile_approx("d", SHARE, 10_000).alias("edge__"), splits), "mcd-edge")
+        root = saved(_root(_moments(_of_group(far, edge).where("d <= edge__"))).select(root.columns), "mcd")
+    scale = _distance(_of_group(rows, root)).where("d is not null").groupBy("group__").agg(F.greatest(F.percentile_approx("d", 0.5, 10_000) / MEDIAN_CHI2, F.lit(LEAST_SCALE)).alias("scale"))
+    return saved(root.drop("splits__").join(scale, "group__"), "mcd-scale")
 
 
 def _judges(passing: DataFrame) -> DataFrame:
-    """passing (lang__, group__, x1..x4) -> group__, judge__ (whose estimates judge the group: its own, its language's or those of all rows), seen__ (all estimates that its rows enter)."""
+    """passing (lang__, group__, x1..x4) -> group__, judge__ (whose estimates judge the group: its own, its language's or those of all rows), seen__ (all estimates that its rows enter).
+
+    Each of these says into how many salts its rows are dealt, in proportion to them: one, and as many more in all as there are shuffle partitions.
+    """
     groups = passing.groupBy("lang__", "group__").agg(F.count("*").alias("n__"))
     langs = groups.groupBy("lang__").agg(F.sum("n__").alias("of_lang__"), F.min("n__").alias("least__"))
     known = groups.join(langs, "lang__")
-    least_lang = langs.agg(F.min("of_lang__")).first()[0] or 0  # one number
+    least_lang, of_all_rows = langs.agg(F.coalesce(F.min("of_lang__"), F.lit(0)), F.coalesce(F.sum("of_lang__"), F.lit(1))).first()  # two numbers
+    partitions = int(passing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda name, rows: F.struct(name.alias("group"), F.ceil(rows * (partitions / of_all_rows)).cast("int").alias("splits"))
     own, of_lang, of_all = F.concat(F.lit("group"), "group__"), F.concat(F.lit("lang"), "lang__"), F.lit("all")
     fits, lang_fits = F.col("n__") >= LEAST_ROWS, F.col("of_lang__") >= LEAST_ROWS
     judge_ = F.when(fits, own).when(lang_fits, of_lang).otherwise(of_all)
     # coarser estimates are made only where some group is judged by them, and from all rows that they cover; those of all rows have no least number
     lang_needed = lang_fits & (F.col("least__") < LEAST_ROWS)
     all_needed = F.lit(least_lang < LEAST_ROWS)
-    seen = F.array_compact(F.array(F.when(fits, own), F.when(lang_needed, of_lang), F.when(all_needed, of_all)))
+    seen = F.array_compact(F.array(F.when(fits, dealt(own, F.col("n__"))), F.when(lang_needed, dealt(of_lang, F.col("of_lang__"))), F.when(all_needed, dealt(of_all, F.lit(of_all_rows)))))
     return saved(known.select("group__", judge_.alias("judge__"), seen.alias("seen__")), "judges")
 
 
@@ -142,8 +153,9 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     rows = saved(statistics(docs, text).select(rest, F.col(stats).alias("stats"), language.alias("lang__"), group.alias("group__"), *[x.alias(n) for n, x in zip(_X, transformed(stats))]), "statistics")
     passing = rows.where(~F.col("stats")["base_failed"]).select("lang__", "group__", *_X)
     judges = _judges(passing)
-    seen = saved(passing.join(judges, "group__").select(F.explode("seen__").alias("group__"), *_X), "seen")
+    seen = passing.join(judges, "group__").select(F.explode("seen__").alias("seen__"), *_X).select(F.col("seen__.group").alias("group__"), F.col("seen__.splits").alias("splits__"), *_X)
+    seen = saved(seen.withColumn("salt__", F.pmod(F.monotonically_increasing_id(), F.col("splits__")).cast("int")), "seen")
     rows = rows.join(judges.select("group__", "judge__"), "group__", "left").drop("group__").withColumnRenamed("judge__", "group__")
-    out = _distance(rows, judge(seen))
+    out = _distance(rows.join(judge(seen), "group__", "left"))
     verdict = ~F.col("stats")["base_failed"] & F.coalesce(F.col("d") <= CUTOFF * F.col("scale"), F.lit(True))
     return out.select("row__.*", F.col("stats").alias(stats), verdict.alias(kept))

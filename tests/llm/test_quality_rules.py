@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 
 from ironlift.llm.queries import op9_quality_rules
-from ironlift.llm.quality_rules import quality
+from ironlift.llm.quality_rules import CUTOFF, FLOORS, LEAST_ROWS, LEAST_SCALE, MEDIAN_CHI2, SHARE, STEPS, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -36,6 +36,43 @@ def test_whole_table(spark):
     assert np.mean(good) > 0.97
 
 
+def rank(values, share):
+    return np.sort(values, axis=0)[max(0, int(np.ceil(share * len(values))) - 1)]
+
+
+def estimate(x):
+    """(mean, covariance, scale) of the rows x by the same steps, in numpy and with whole matrices."""
+    far = lambda mean, cov: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    mean = rank(x, 0.5)
+    cov = np.diag((1.4826 * rank(np.abs(x - mean), 0.5)) ** 2 + np.square(FLOORS))
+    for _ in range(STEPS):
+        d = far(mean, cov)
+        near = x[d <= rank(d, SHARE)]
+        mean, cov = near.mean(0), np.cov(near.T, bias=True) + np.diag(np.square(FLOORS))
+    return mean, cov, max(rank(far(mean, cov), 0.5) / MEDIAN_CHI2, LEAST_SCALE)
+
+
+def test_verdicts_against_numpy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality(docs).collect()
+    vector = {r.doc_id: [np.log(r.stats.n_words), np.log(r.stats.word_chars / r.stats.n_words), np.arcsinh(10 * r.stats.n_symbols / r.stats.n_words), np.arcsinh(5 * r.stats.n_repeat_words / r.stats.n_words)] for r in rows if not r.stats.base_failed}
+    groups, langs = {}, {}
+    for r in rows:
+        if r.doc_id in vector:
+            groups.setdefault((r.lang, r.source), []).append(r.doc_id)
+            langs.setdefault(r.lang, []).append(r.doc_id)
+    kept, judged = {}, {}
+    for (lang, source), ids in groups.items():
+        key, of = next((k, i) for k, i in (((lang, source), ids), (lang, langs[lang]), ("all", list(vector))) if len(i) >= LEAST_ROWS or k == "all")
+        if key not in judged:
+            judged[key] = estimate(np.array([vector[i] for i in of]))
+        mean, cov, scale = judged[key]
+        for i in ids:
+            z = np.array(vector[i]) - mean
+            kept[i] = z @ np.linalg.inv(cov) @ z <= CUTOFF * scale
+    assert {r.doc_id: r.kept for r in rows} == {r.doc_id: bool(kept.get(r.doc_id, False)) for r in rows}
+
+
 TEXTS = [None, "", " \t\n\x0b\f\r ", "a b c a b c", "a b a b a b", "x\n\nx\n x\nx", "é#* $|<>&% \x1c b", "one", "one two", "the " * 3000, " wide  a b", "l\n" * 500, "q w e r t y " * 9]
 
 
