@@ -90,6 +90,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import search
+
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import group_variants, spoiled_counts
+
+    return group_variants(spoiled_counts(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_pack": op2_pack,
@@ -101,8 +113,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_remove_repeats": op8_remove_repeats,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_spelling_variants": op12_spelling_variants,
 }
+#: The terms of op11 and the letter runs of op12, lower-cased from A to Z only.
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: crc32 of the UTF-8 bytes of s, bit by bit, for code points up to U+00FF.
+_BYTES = "flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END))"
+_BITS = "list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, bit: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+_CRC32 = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform({_BYTES}, lambda b: b::BIGINT)), lambda crc, byte: {_BITS}), 4294967295)"
 ORACLE_SQL: dict[str, str] = {
+    "op12_spelling_variants": f"""
+        WITH RECURSIVE held AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+        counted AS (SELECT run, concat(doc_id, ':', run) AS s, count(*) AS n FROM held GROUP BY doc_id, run),
+        hashed AS (SELECT run, n, {_CRC32} AS h FROM counted),
+        spoiled AS (SELECT CASE WHEN h % 97 = 0 THEN concat(substring(run, 1, h % length(run)), substring(run, h % length(run) + 2, length(run))) ELSE run END AS word, n FROM hashed),
+        words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoiled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        cut AS (SELECT word, i, concat(substring(word, 1, i - 1), '\n', substring(word, i + 1, length(word))) AS hole, concat(substring(word, 1, i - 1), substring(word, i + 1, length(word))) AS less
+            FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        pairs AS (SELECT a.word, b.word AS near FROM cut a JOIN cut b USING (hole) WHERE a.word <> b.word
+            UNION SELECT w.word, c.word FROM words w JOIN cut c ON w.word = c.less UNION SELECT c.word, w.word FROM words w JOIN cut c ON w.word = c.less),
+        best AS (SELECT p.word, count(*) AS n_near, arg_min(p.near, (-w.n, p.near)) AS near, max(w.n) AS m FROM pairs p JOIN words w ON w.word = p.near GROUP BY p.word),
+        formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN near END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+        way AS (SELECT word, word AS at FROM formed UNION ALL SELECT way.word, formed.form FROM way JOIN formed ON way.at = formed.word WHERE formed.form IS NOT NULL)
+        SELECT f.word, f.n, f.form, w.at AS root, f.n_near, f.form_n FROM formed f JOIN way w ON f.word = w.word JOIN formed e ON w.at = e.word AND e.form IS NULL""",
+    "op11_ranked_search": f"""
+        WITH held AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+        tfs AS (SELECT doc_id, term, count(*) AS tf FROM held GROUP BY ALL),
+        sizes AS (SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id),
+        totals AS (SELECT count(*) AS n_all, CAST(sum(n) AS BIGINT) AS l FROM sizes),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_all) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, totals GROUP BY term),
+        wanted AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+        scores AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_all) // l)))) AS BIGINT) AS score
+            FROM wanted JOIN tfs USING (term) JOIN w USING (term) JOIN sizes USING (doc_id), totals GROUP BY ALL),
+        ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 10""",
     "op3_arc_to_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
