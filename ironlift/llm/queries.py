@@ -102,6 +102,15 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(spoiled_counts(read_table(spark, sf_dir, "documents")))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fit(docs, read_table(spark, sf_dir, "labels")).score(docs)
+    t = F.col("toxicity")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), t["score"].alias("score"), (t["score"] >= 0.5).cast("int").alias("predicted"), F.size(t["passages"]).cast("long").alias("n_passages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_pack": op2_pack,
@@ -115,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_ranked_search": op11_ranked_search,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_toxicity": op13_toxicity,
 }
 #: The terms of op11 and the letter runs of op12, lower-cased from A to Z only.
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
