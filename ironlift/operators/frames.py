@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import deviation_category, exact_tenth, flag, joint_angle, tenth, timestamp_ms
+from ..functions.columns import exact_tenth, flag, joint_angle, tenth, timestamp_ms
 from ..params import ArmParams
 
 #: Landmark slots.
@@ -66,15 +66,12 @@ def wrist_heights(rows: DataFrame) -> DataFrame:
     return rows.withColumn("avg_wrist_y", exact_tenth((F.col("left_wrist_y") + F.col("right_wrist_y")) / 2))
 
 
-def frame_angles(nested: DataFrame, params: ArmParams = ArmParams()) -> DataFrame:
-    """Frames with nested poses -> clip and FRAME_ANGLES."""
+def frame_angles(nested: DataFrame, params: ArmParams = ArmParams(), by: list[str] = ["clip"]) -> DataFrame:
+    """Frames with nested poses -> what names a clip, and FRAME_ANGLES."""
     rows = angles(centre_pose(sample(nested, params.every)))
     rows = wrist_heights(symmetry(rows, params))
     rows = rows.withColumn("low_visibility_flag", flag(F.col("least_visibility") < params.visibility))
     return rows.select(
-        "clip", "frame", *[f"{s}_{j}_angle" for j in ("elbow", "shoulder") for s in ("left", "right")], "symmetry_diff",
+        *by, "frame", *[f"{s}_{j}_angle" for j in ("elbow", "shoulder") for s in ("left", "right")], "symmetry_diff",
         "left_wrist_y", "right_wrist_y", "avg_wrist_y", "asymmetry_flag", "lockout_flag", "low_visibility_flag")
 
-
-def categories(rows: DataFrame, limit: float = 15.0) -> DataFrame:
-    return rows.withColumn("category", deviation_category(F.col("symmetry_diff"), limit))

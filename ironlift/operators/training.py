@@ -1,13 +1,15 @@
-"""Training on the lift table: imputation, F-test, feature selection, folds, tree classifiers."""
+"""Training on the lift table: imputation, F-test, feature selection inside folds, tree classifiers, predictions."""
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..params import TrainingParams
@@ -28,14 +30,48 @@ def impute(lifts: DataFrame) -> DataFrame:
     return lifts.withColumns({c: F.coalesce(F.col(c), F.lit(means[c]).cast("double")) for c in FEATURES})
 
 
+def moments(lifts: DataFrame, *by: str) -> DataFrame:
+    """(feature, *by, n, mean, m2): counts, means and sums of squared deviations of each feature's known values, by partial sums."""
+    long = lifts.select(*by, *FEATURES).unpivot(list(by), list(FEATURES), "feature", "value").where("value is not null")
+    return long.groupBy("feature", *by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("value")).alias("m2"))
+
+
+def merged(cells: Column) -> Column:
+    """One (n, mean, m2) of an array of them."""
+    total = lambda of: F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + of(c))
+    n = total(lambda c: c["n"])
+    mean = F.try_divide(total(lambda c: c["n"] * c["mean"]), n)
+    return F.struct(n.alias("n"), mean.alias("mean"), total(lambda c: c["m2"] + c["n"] * (c["mean"] - mean) * (c["mean"] - mean)).alias("m2"))
+
+
+def f_value(groups: Column) -> Column:
+    """Between-label over within-label mean squares, from an array with one (n, mean, m2) for each label; null where a divisor is 0."""
+    total = lambda of: F.aggregate(groups, F.lit(0.0), lambda acc, c: acc + of(c))
+    n, k = total(lambda c: c["n"]), F.size(groups)
+    mean = F.try_divide(total(lambda c: c["n"] * c["mean"]), n)
+    return F.try_divide(total(lambda c: c["n"] * (c["mean"] - mean) * (c["mean"] - mean)) * (n - k), total(lambda c: c["m2"]) * (k - 1))
+
+
 def anova(lifts: DataFrame) -> DataFrame:
-    """(feature, f): between-label over within-label mean squares, by partial sums per feature and label."""
-    groups = lifts.where("label is not null").unpivot(["label"], list(FEATURES), "feature", "value").where("value is not null")
-    per = groups.groupBy("feature", "label").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
-    total = per.groupBy("feature").agg(F.sum("n").alias("n_all"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
-    both = per.join(total, "feature").groupBy("feature").agg(
-        F.sum(F.col("n") * (F.col("m") - F.col("mean")) ** 2).alias("between"), F.sum(F.col("n") * F.col("v")).alias("within"), F.max("k").alias("k"), F.max("n_all").alias("n_all"))
-    return both.select("feature", F.try_divide(F.col("between") * (F.col("n_all") - F.col("k")), F.col("within") * (F.col("k") - 1)).alias("f"))
+    """(feature, f): between-label over within-label mean squares, from one aggregate per feature and label."""
+    cells = moments(lifts.where("label is not null"), "label")
+    # a list as long as there are labels
+    return cells.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("label", "n", "mean", "m2"))).alias("g")).select("feature", f_value(F.col("g")).alias("f"))
+
+
+def fold_features(lifts: DataFrame, folds: int, k: int) -> DataFrame:
+    """lifts with fold (0 to folds - 1) -> (fold, feature, f, rank): the k features of largest F over the lifts outside each fold.
+
+    One pass over the lifts gives the moments by feature, label and fold; those of the lifts outside a fold are merged from the other folds',
+    so nothing is fitted again. F counts to nine decimals, equal ones go by name.
+    """
+    cells = moments(lifts.where("label is not null"), "label", "fold")
+    outside = cells.withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("out <> fold")
+    cell = F.sort_array(F.collect_list(F.struct("fold", "n", "mean", "m2")))  # as long as there are folds
+    labels = outside.groupBy("out", "feature", "label").agg(merged(cell).alias("m")).select("out", "feature", "label", "m.*")
+    f = labels.groupBy("out", "feature").agg(F.array_sort(F.collect_list(F.struct("label", "n", "mean", "m2"))).alias("g")).select(F.col("out").alias("fold"), "feature", f_value(F.col("g")).alias("f"))
+    rank = F.row_number().over(Window.partitionBy("fold").orderBy(F.round("f", 9).desc(), "feature"))
+    return f.where("f is not null").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def n_selected(lifts: int, features: int = len(FEATURES)) -> int:
@@ -69,32 +105,54 @@ def classifiers(params: TrainingParams = TrainingParams()) -> dict:
         "boosted_trees": GBTClassifier(featuresCol="selected", labelCol="label", maxDepth=params.boosted_depth, maxIter=params.trees, seed=params.seed)}
 
 
-def vectors(lifts: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Imputed lifts with a vector of all features that have any value, and the names of those."""
-    counts = lifts.agg(*[F.count(c).alias(c) for c in FEATURES]).first()
-    used = [c for c in FEATURES if counts[c]]
-    rows = impute(lifts).withColumn("label", F.col("label").cast("double"))
-    return VectorAssembler(inputCols=used, outputCol="all").transform(rows), used
+def pipeline(classifier, features: list[str], known: bool = False) -> Pipeline:
+    """From lifts to predictions: means for what is missing (unless all is known), one vector of the features, the classifier. Saved and loaded as a whole."""
+    if known:
+        return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="selected"), classifier])
+    filled = [f"{c}__known" for c in features]
+    return Pipeline(stages=[Imputer(strategy="mean", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="selected"), classifier])
+
 
+def n_folds(lifts: int, params: TrainingParams = TrainingParams()) -> int:
+    return lifts if lifts <= params.leave_one_out else params.folds
 
-def pipeline(classifier, k: int) -> Pipeline:
-    selector = UnivariateFeatureSelector(featuresCol="all", outputCol="selected", labelCol="label", selectionMode="numTopFeatures")
-    selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(k)
-    return Pipeline(stages=[selector, classifier])
 
+def deal(lifts: DataFrame, path: str, params: TrainingParams = TrainingParams()) -> None:
+    """Writes the labelled lifts with the features filled and their fold, in a folder for each fold."""
+    rows = with_folds(impute(prepared(lifts)), params).withColumn("label", F.col("label").cast("double"))
+    rows.hint("rebalance", "fold").write.mode("overwrite").partitionBy("fold").parquet(path)
 
-def cross_validate(lifts: DataFrame, params: TrainingParams = TrainingParams()) -> dict[str, float]:
-    """Mean accuracy over the folds for each classifier; features are selected anew inside each fold."""
-    rows, used = vectors(with_folds(prepared(lifts), params))
-    rows = rows.select("all", "label", "fold").cache()
-    n, folds = rows.count(), rows.select("fold").distinct().count()
-    judge = MulticlassClassificationEvaluator(metricName="accuracy")
-    out = {}
-    for name, classifier in classifiers(params).items():
-        cv = CrossValidator(estimator=pipeline(classifier, n_selected(n, len(used))), estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=folds, foldCol="fold", parallelism=4)
-        out[name] = float(cv.fit(rows).avgMetrics[0])
-    rows.unpersist()
-    return out
+
+def out_of_fold(dealt: DataFrame, params: TrainingParams = TrainingParams()) -> DataFrame:
+    """(lift_id, label, fold, model, predicted) from what deal() has written: each lift once a classifier, predicted by the model that was fitted without its fold.
+
+    Missing features have the mean of all labelled lifts; features are selected anew for each fold, from moments of the lifts outside it.
+    """
+    n = dealt.count()
+    chosen: dict[int, list[str]] = {}
+    for r in fold_features(dealt, n_folds(n, params), n_selected(n)).orderBy("fold", "rank").collect():  # folds times the features selected
+        chosen.setdefault(r["fold"], []).append(r["feature"])
+
+    def predictions(job: tuple[str, int]) -> DataFrame:
+        name, fold = job
+        model = pipeline(classifiers(params)[name], chosen[fold], True).fit(dealt.where(F.col("fold") != fold))
+        return model.transform(dealt.where(F.col("fold") == fold)).select("lift_id", F.col("label").cast("int").alias("label"), "fold", F.lit(name).alias("model"), F.col("prediction").cast("int").alias("predicted"))
+
+    with ThreadPool(params.parallel) as pool:  # small fits, side by side
+        parts = pool.map(predictions, [(name, fold) for name in classifiers(params) for fold in sorted(chosen)])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def accuracies(predictions: DataFrame) -> DataFrame:
+    """(model, accuracy): the mean over folds of the share of right predictions."""
+    of_fold = predictions.groupBy("model", "fold").agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"))
+    return of_fold.groupBy("model").agg(F.avg("accuracy").alias("accuracy"))
+
+
+def cross_validate(predictions: DataFrame, params: TrainingParams = TrainingParams()) -> dict[str, float]:
+    """Mean accuracy over the folds for each classifier, in the classifiers' order."""
+    found = {r["model"]: r["accuracy"] for r in accuracies(predictions).collect()}
+    return {name: found[name] for name in classifiers(params)}
 
 
 def best_of(scores: dict[str, float]) -> str:
@@ -103,10 +161,23 @@ def best_of(scores: dict[str, float]) -> str:
 
 
 def fit_final(lifts: DataFrame, name: str, params: TrainingParams = TrainingParams()) -> tuple[PipelineModel, list[str]]:
-    """The named classifier on all labelled lifts, and the features it uses."""
-    rows, used = vectors(prepared(lifts))
-    model = pipeline(classifiers(params)[name], n_selected(rows.count(), len(used))).fit(rows)
-    return model, [used[i] for i in sorted(model.stages[0].selectedFeatures)]  # the selector keeps the vector's order
+    """The named classifier on all labelled lifts, and the features it uses, those of largest F first."""
+    rows = prepared(lifts)
+    filled = impute(rows)
+    used = [r["feature"] for r in top_features(filled, anova(filled)).collect()]
+    model = pipeline(classifiers(params)[name], used).fit(rows.withColumn("label", F.col("label").cast("double")))
+    return model, used
+
+
+def features_of(model: PipelineModel) -> list[str]:
+    """The features that a fitted pipeline reads, in its order."""
+    return model.stages[0].getInputCols()
+
+
+def score_lifts(model: PipelineModel, lifts: DataFrame) -> DataFrame:
+    """(lift_id, predicted, bad): predictions for lifts with or without labels and with any features missing; bad is the probability of label 1."""
+    out = model.transform(lifts.select("lift_id", *features_of(model)))
+    return out.select("lift_id", F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability")[1].alias("bad"))
 
 
 def importances(spark: SparkSession, model: PipelineModel, features: list[str]) -> DataFrame:

@@ -35,3 +35,5 @@ class TrainingParams:
     trees: int = 100
     forest_depth: int = 3
     boosted_depth: int = 2
+    #: Fits that run side by side.
+    parallel: int = 4

@@ -13,7 +13,7 @@ from ..functions.columns import deviation_category
 from ..functions.smoothing import fit_weights
 from ..operators import bar_path, frames, lift_features, reports, training
 from ..schemas import BAR_FEATURES, ELBOW_VIEWS, FEATURES, FRAME_ANGLES, FRONT_FEATURES, PHASES, SIDES, elbow_features
-from ..params import BarPathParams
+from ..params import ArmParams, BarPathParams, TrainingParams
 from ..sources import fixtures, tables
 from . import jobs
 
@@ -76,7 +76,17 @@ def append_features(spark, d):
     path = tables.shared_folder(spark)
     for _ in range(2):
         tables.append(bar_path.features(bar_path.clean(_raw(spark, d))), path)
-    return rounded(spark.read.parquet(path))
+    return rounded(tables.read_appended(spark, path))
+
+
+def retried_append(spark, d):
+    """Two runs, of which the second fails after half of its rows, is retried, and is called once more after it is whole."""
+    path, found = tables.shared_folder(spark), bar_path.features(bar_path.clean(_raw(spark, d)))
+    tables.append(found, path, "first")
+    found.where("total_path_length > 3").write.parquet(f"{path}/rows/batch=second")  # what a run that died before its commit leaves
+    for _ in range(2):
+        tables.append(found, path, "second")
+    return rounded(tables.read_appended(spark, path))
 
 
 def written_cleaned(spark, d):
@@ -88,7 +98,17 @@ def written_cleaned(spark, d):
 
 
 def job_bar_paths(spark, d):
-    return rounded(jobs.run_bar_paths(_raw(spark, d), tables.shared_folder(spark)))
+    path = tables.shared_folder(spark)
+    jobs.run_bar_paths(_raw(spark, d), path)
+    return rounded(tables.read_appended(spark, f"{path}/features"))
+
+
+def job_rejects(spark, d):
+    """The failing videos of a job, and for each whether it left features."""
+    path = tables.shared_folder(spark)
+    jobs.run_bar_paths(fixtures.raw_with_faults(spark, d), path)
+    made = tables.read_appended(spark, f"{path}/features").select("video_id", F.lit(True).alias("has_features"))
+    return spark.read.parquet(f"{path}/rejects").join(made, "video_id", "left").select("video_id", "reason", "rows", F.coalesce("has_features", F.lit(False)).alias("has_features"))
 
 
 def all_clip_features(spark, d):
@@ -197,7 +217,7 @@ def _angle_sql(a: str, b: str, c: str) -> str:
 _PIXELS = ", ".join(f"max(CASE WHEN i = {i} THEN {v} * {size} END) AS {n}{v}" for i, n in _SLOT.items() for v, size in (("x", 1080), ("y", 1920)))
 _ANGLES = f"""WITH {fixtures.POSES_SQL}, pixels AS (SELECT f.clip, f.frame_idx + 1 AS frame, {_PIXELS}, min(CASE WHEN i IN (13, 14, 15, 16) THEN visibility END) AS seen
     FROM flat f JOIN chosen c ON f.clip = c.clip AND f.frame_idx = c.frame_idx AND f.p = c.pose_idx WHERE f.frame_idx % 3 = 0 GROUP BY f.clip, f.frame_idx),
-  angles AS (SELECT clip, frame, seen, {_angle_sql('ls', 'le', 'lw')} AS left_elbow_angle, {_angle_sql('rs', 're', 'rw')} AS right_elbow_angle, {_angle_sql('lh', 'ls', 'le')} AS left_shoulder_angle, {_angle_sql('rh', 'rs', 're')} AS right_shoulder_angle FROM pixels)"""
+  angles AS (SELECT clip, frame, seen, lwy, rwy, {_angle_sql('ls', 'le', 'lw')} AS left_elbow_angle, {_angle_sql('rs', 're', 'rw')} AS right_elbow_angle, {_angle_sql('lh', 'ls', 'le')} AS left_shoulder_angle, {_angle_sql('rh', 'rs', 're')} AS right_shoulder_angle FROM pixels)"""
 
 # lifts
 
@@ -237,16 +257,46 @@ def label_map(spark, d):
 
 
 def frame_csv(spark, d):
-    """Frame tables as CSV files, read with the explicit schema."""
-    path, names = tables.shared_folder(spark), FRAME_ANGLES.names
-    _frame_rows(spark, d).select(*names).write.option("header", True).csv(path)
-    return tables.read_frames(spark, path).select(*names)
+    """Frame tables as CSV files named by clip, read with the explicit schema; the names come from the paths."""
+    path = tables.shared_folder(spark)
+    tables.write_frame_files(_frame_rows(spark, d), path)
+    return tables.read_frames(spark, path).select("source_file", *FRAME_ANGLES.names)
+
+
+def landmark_tables(spark, d):
+    """A row a pose, written and read as frames with their poses, and as wrists: the most central pose and the bar's place."""
+    path = tables.shared_folder(spark)
+    nested = _nested(spark, d)
+    nested.select("clip", "frame_idx", "width", "height", "fps", F.posexplode("poses").alias("pose_idx", "landmarks")).write.parquet(f"{path}/poses")
+    poses = tables.read_poses(spark, f"{path}/poses")
+    bar_path.extract_wrists(poses.select("*", F.lit(0).alias("pose_idx"), F.get("poses", F.lit(0)).alias("landmarks"))).write.parquet(f"{path}/landmarks")
+    wrists = tables.read_landmarks(spark, f"{path}/landmarks").select(F.col("video_id").alias("clip"), F.col("frame_id").alias("frame_idx"), "bar_x", "bar_y")
+    return rounded(frames.centre_pose(poses).select("clip", "frame_idx", "pose_idx").join(wrists, ["clip", "frame_idx"]))
 
 
 def frames_by_view(spark, d):
     path = tables.shared_folder(spark)
     tables.write_frames(_frame_rows(spark, d), path)
-    return spark.read.parquet(path).select("view", "source_file", "frame", "symmetry_diff", "avg_wrist_y")
+    return tables.read_frame_tables(spark, path).select("view", "source_file", "frame", "symmetry_diff", "avg_wrist_y")
+
+
+def rewritten_frames(spark, d):
+    """Lifts of clips that are written with wrong angles, then right, and of which those of one view are written once more."""
+    path, rows = tables.shared_folder(spark), _frame_rows(spark, d)
+    tables.write_frames(rows.withColumn("left_elbow_angle", F.lit(1.0)), path)
+    tables.write_frames(rows, path)
+    tables.write_frames(rows.where(F.col("source_file").endswith("_side.csv")), path)
+    return rounded(lift_features.master(tables.read_frame_tables(spark, path)))
+
+
+def resumed_frames(spark, d):
+    """The clips that a frame job has processed, one view first, then all, then all again: each once, those without any pose included."""
+    path, poses, (clips, _) = tables.shared_folder(spark), fixtures.named_poses(spark, d), fixtures.inventory(spark, d)
+    jobs.run_frame_batch(poses, clips, path, "front-first", "front")
+    for name in ("all", "all-again"):
+        jobs.run_frame_batch(poses, clips, path, name)
+    rows = tables.read_frame_tables(spark, path).groupBy("source_file").agg(F.count("*").alias("frames"))
+    return tables.processed_clips(spark, path).join(rows, "source_file", "left").select("source_file", "view", "attempts", F.coalesce("frames", F.lit(0)).cast("long").alias("frames"))
 
 
 def written_lifts(spark, d):
@@ -258,8 +308,24 @@ def written_lifts(spark, d):
 def job_lifts(spark, d):
     """Frames to lifts, models and the comparison, which is returned."""
     path = tables.shared_folder(spark)
-    jobs.run_lifts(spark, _frame_rows(spark, d), path, clean=True)
-    return rounded(spark.read.parquet(f"{path}/comparison"))
+    jobs.run_lifts(spark, _frame_rows(spark, d), path, clean=True, run="only")
+    return rounded(spark.read.parquet(f"{path}/comparison/run=only"))
+
+
+def job_whole(spark, d):
+    """From poses and the inventory to lifts and a model, fresh."""
+    path = tables.shared_folder(spark)
+    jobs.run_whole(fixtures.named_poses(spark, d), fixtures.inventory(spark, d)[0], path, "first", params=TrainingParams(trees=20))
+    return rounded(spark.read.parquet(f"{path}/lifts/run=first"))
+
+
+def job_whole_again(spark, d):
+    """A run over frame tables of other rules, then one that cleans them, then one that skips the frames: the lifts of the last one."""
+    path, poses, (clips, _) = tables.shared_folder(spark), fixtures.named_poses(spark, d), fixtures.inventory(spark, d)
+    jobs.run_frame_batch(poses, clips, f"{path}/frames", "other", params=ArmParams(every=1))
+    jobs.run_frame_batch(poses, clips, f"{path}/frames", "cleaned", fresh=True)
+    jobs.run_whole(poses, clips, path, "last", skip_frames=True, params=TrainingParams(trees=10))
+    return rounded(spark.read.parquet(f"{path}/lifts/run=last"))
 
 
 def master_dataset(spark, d):
@@ -283,7 +349,11 @@ def batch_summary(spark, d):
 
 
 def video_inventory(spark, d):
-    return reports.videos(fixtures.inventory(spark, d)[0])
+    """Files of all views' folders whose names end like a video's, listed from a store that holds one for each clip."""
+    path = tables.shared_folder(spark)
+    clips = fixtures.inventory(spark, d)[0]
+    clips.select("view", "file_name", F.lit("frames").alias("value")).repartition("view", "file_name").write.partitionBy("view", "file_name").text(path)
+    return reports.videos(tables.list_videos(spark, path))
 
 
 def skip_processed(spark, d):
@@ -299,8 +369,10 @@ def good_vs_bad(spark, d):
 
 
 def _labelled(spark, d):
-    """One row a lift, kept for the several passes over it that training makes."""
-    return training.prepared(lift_features.master(_frame_rows(spark, d)).persist())
+    """One row a lift, written for the several passes over it that training makes."""
+    path = tables.shared_folder(spark)
+    tables.write_lifts(lift_features.master(_frame_rows(spark, d)), path)
+    return training.prepared(spark.read.parquet(path))
 
 
 def mean_impute(spark, d):
@@ -320,9 +392,19 @@ def stratified_folds(spark, d):
     return training.with_folds(_labelled(spark, d).select("lift_id", "label"))
 
 
+def fold_features(spark, d):
+    """What is selected for each fold from the lifts outside it."""
+    lifts = _labelled(spark, d)
+    n = lifts.count()
+    return rounded(training.fold_features(training.with_folds(training.impute(lifts)), training.n_folds(n), training.n_selected(n)))
+
+
+def out_of_fold(spark, d):
+    return jobs.predictions(_labelled(spark, d), tables.shared_folder(spark), TrainingParams())
+
+
 def cv_accuracy(spark, d):
-    scores = training.cross_validate(_labelled(spark, d))
-    return spark.createDataFrame(list(scores.items()), "model string, accuracy double")
+    return training.accuracies(out_of_fold(spark, d))
 
 
 def feature_importance(spark, d):
@@ -330,6 +412,21 @@ def feature_importance(spark, d):
     return training.importances(spark, model, used)
 
 
+def score_lifts(spark, d):
+    """All lifts, labelled or not, by the model that was fitted on the labelled ones, saved and loaded."""
+    path = tables.shared_folder(spark)
+    tables.write_lifts(lift_features.master(_frame_rows(spark, d)), f"{path}/lifts")
+    lifts = spark.read.parquet(f"{path}/lifts")
+    model, used = training.fit_final(lifts, "random_forest")
+    tables.save_model(model, training.importances(spark, model, used), path)
+    return rounded(training.score_lifts(tables.load_model(path), lifts))
+
+
+#: The frames of the whole run: videos that have poses, under their names.
+_WHOLE_FRAMES = f"""{_ANGLES}, {fixtures.INVENTORY_SQL}, named AS (SELECT concat(stem, '_', view, '.csv') AS source_file, user_id FROM clips WHERE user_id % 4 <> 2),
+  base AS (SELECT source_file, frame, row_number() OVER (PARTITION BY clip ORDER BY frame) - 1 AS position, count(*) OVER (PARTITION BY clip) AS n,
+    left_elbow_angle, right_elbow_angle, left_shoulder_angle, right_shoulder_angle, round_even(lwy * 10, 0) AS ly, round_even(rwy * 10, 0) AS ry, CAST(seen < 0.5 AS INTEGER) AS low_visibility_flag
+    FROM angles JOIN named ON clip = concat('clip', user_id) WHERE user_id % 13 <> 5), {fixtures._FRAME_TAIL}"""
 _FRAMES = f"WITH {fixtures.FRAMES_SQL}"
 _LOCKOUT = "lock AS (SELECT source_file, arg_min(position, (avg_wrist_y, position)) AS at FROM frames GROUP BY source_file), snap AS (SELECT f.* FROM frames f JOIN lock l ON f.source_file = l.source_file AND f.position = l.at)"
 
@@ -346,9 +443,10 @@ _FRONT = "front_rows AS (SELECT a.*, s.symmetry_diff AS front_lockout_symmetry F
     [f"avg({_OK.format(c='symmetry_diff', more=f''' AND phase = '{p}' ''')}) AS front_{p}_avg_symmetry_diff" for p in PHASES]
     + [f"avg({_OK.format(c='symmetry_diff', more='')}) AS front_overall_avg_symmetry", f"max({_OK.format(c='symmetry_diff', more='')}) AS front_overall_max_symmetry", f"avg({_OK.format(c='asymmetry_flag', more='')}) AS front_asymmetry_ratio"]
 ) + " FROM frames WHERE view = 'front' GROUP BY source_file, lift_id) a JOIN snap s USING (source_file))"
-_MASTER = f"""{_FRAMES}, {_LOCKOUT}, {_elbow_sql('side')}, {_elbow_sql('angle')}, {_FRONT},
+_MASTER_TAIL = f"""{_LOCKOUT}, {_elbow_sql('side')}, {_elbow_sql('angle')}, {_FRONT},
   joined AS (SELECT * FROM side_rows FULL JOIN angle_rows USING (lift_id) FULL JOIN front_rows USING (lift_id)),
   master AS (SELECT lift_id, {', '.join(FEATURES)}, CASE WHEN lift_id LIKE '%good' THEN 0 WHEN lift_id LIKE '%bad' THEN 1 END AS label FROM joined)"""
+_MASTER = f"{_FRAMES}, {_MASTER_TAIL}"
 _IMPUTED = f"{_MASTER}, known AS (SELECT * FROM master WHERE label IS NOT NULL), imputed AS (SELECT lift_id, label, {', '.join(f'coalesce({c}, avg({c}) OVER ()) AS {c}' for c in FEATURES)} FROM known)"
 _LONG = f"long AS (UNPIVOT imputed ON {', '.join(FEATURES)} INTO NAME feature VALUE value)"
 _ANOVA = f"""{_IMPUTED}, {_LONG}, per AS (SELECT feature, label, count(*) AS c, avg(value) AS m, var_pop(value) AS v FROM long GROUP BY ALL),
@@ -368,6 +466,8 @@ QUERIES: dict[str, Query] = {
     "cv_accuracy": cv_accuracy, "feature_importance": feature_importance,
     "written_cleaned": written_cleaned, "frame_csv": frame_csv, "frames_by_view": frames_by_view, "written_lifts": written_lifts,
     "job_bar_paths": job_bar_paths, "job_frames": job_frames, "job_lifts": job_lifts,
+    "rewritten_frames": rewritten_frames, "resumed_frames": resumed_frames, "retried_append": retried_append, "job_rejects": job_rejects,
+    "job_whole": job_whole, "job_whole_again": job_whole_again, "landmark_tables": landmark_tables, "fold_features": fold_features, "out_of_fold": out_of_fold, "score_lifts": score_lifts,
 }
 
 _WRISTS = ", ".join(f"coalesce(max(CASE WHEN i = {i} THEN {v} END), 0) AS {n}" for s, i in (("left", 15), ("right", 16)) for v, n in (("x", f"{s}_wrist_x"), ("y", f"{s}_wrist_y"), ("visibility", f"{s}_visibility")))
@@ -387,7 +487,7 @@ ORACLE_SQL: dict[str, str] = {
     "frame_sampling": f"WITH {fixtures.POSES_SQL} SELECT concat('clip', user_id) AS clip, frame_idx, frame_idx + 1 AS frame FROM numbered WHERE frame_idx % 3 = 0",
     "frame_timestamp": f"WITH {fixtures.POSES_SQL} SELECT concat('clip', user_id) AS clip, frame_idx + 1 AS frame, CAST(floor(frame_idx / (CASE WHEN user_id % 4 <> 0 THEN 25.0::DOUBLE ELSE 30.0::DOUBLE END) * 1000) AS BIGINT) AS ms FROM numbered",
     "center_pose": f"WITH {fixtures.POSES_SQL} SELECT clip, frame_idx, CAST(pose_idx AS INTEGER) AS pose_idx FROM chosen",
-    "joint_angles": f"{_ANGLES} SELECT * EXCLUDE (seen) FROM angles",
+    "joint_angles": f"{_ANGLES} SELECT * EXCLUDE (seen, lwy, rwy) FROM angles",
     "frame_flags": f"{_ANGLES}, s AS (SELECT *, round_even(abs(left_elbow_angle - right_elbow_angle) * 10, 0) / 10 AS symmetry_diff FROM angles) SELECT clip, frame, symmetry_diff, CAST(symmetry_diff > 15 AS INTEGER) AS asymmetry_flag, CAST(left_elbow_angle < 160 OR right_elbow_angle < 160 AS INTEGER) AS lockout_flag, CAST(seen < 0.5 AS INTEGER) AS low_visibility_flag FROM s",
     "wrist_heights": f"{_FRAMES} SELECT source_file, frame, left_wrist_y, right_wrist_y, avg_wrist_y FROM all_frames",
     "deviation_category": f"{_FRAMES} SELECT source_file, frame, CASE WHEN symmetry_diff > 15 THEN 'red' ELSE 'green' END AS category FROM all_frames",
@@ -411,10 +511,25 @@ ORACLE_SQL: dict[str, str] = {
     "top_k_features": f"{_ANOVA} SELECT feature, round(f, 6) AS f FROM anova WHERE f IS NOT NULL ORDER BY anova.f DESC, feature LIMIT (SELECT greatest(3, least(8, count(*) // 2)) FROM known)",
     "stratified_folds": f"{_MASTER}, known AS (SELECT lift_id, label FROM master WHERE label IS NOT NULL) SELECT lift_id, label, CAST(CASE WHEN (SELECT count(*) FROM known) <= 20 THEN row_number() OVER (ORDER BY md5(lift_id), lift_id) - 1 ELSE (row_number() OVER (PARTITION BY label ORDER BY md5(lift_id), lift_id) - 1) % 5 END AS INTEGER) AS fold FROM known",
 }
+_K = "(SELECT greatest(3, least(8, count(*) // 2)) FROM known)"
+_WHOLE = f"{_WHOLE_FRAMES}, {_MASTER_TAIL} SELECT lift_id, {_round_sql(*FEATURES)}, label FROM master"
 ORACLE_SQL |= {
+    "rewritten_frames": ORACLE_SQL["master_dataset"], "retried_append": ORACLE_SQL["append_features"], "job_whole": _WHOLE, "job_whole_again": _WHOLE,
+    "resumed_frames": f"{_WHOLE_FRAMES}, per AS (SELECT source_file, count(*) AS frames FROM frames GROUP BY source_file) SELECT named.source_file, regexp_extract(named.source_file, '_([a-z]+)\\.csv$', 1) AS view, 1::BIGINT AS attempts, coalesce(frames, 0) AS frames FROM named LEFT JOIN per USING (source_file)",
+    "job_rejects": f"""WITH {fixtures.FAULTS_SQL}, judged AS (SELECT video_id, count(*) AS rows, count_if(coalesce(frame_width, 0) <= 0) AS unsized, count_if(left_visibility >= 0.5 AND right_visibility >= 0.5) AS seen,
+        count_if(left_visibility >= 0.5 AND right_visibility >= 0.5 AND bar_x IS NOT NULL) AS placed FROM faulty GROUP BY video_id)
+      SELECT video_id, CASE WHEN unsized > 0 THEN 'a frame has no size' WHEN seen = 0 THEN 'no frame is visible' ELSE 'no place of the bar' END AS reason, rows, false AS has_features FROM judged WHERE unsized > 0 OR placed = 0""",
+    "fold_features": f"""{_IMPUTED}, dealt AS (SELECT *, CASE WHEN (SELECT count(*) FROM known) <= 20 THEN row_number() OVER (ORDER BY md5(lift_id), lift_id) - 1 ELSE (row_number() OVER (PARTITION BY label ORDER BY md5(lift_id), lift_id) - 1) % 5 END AS fold FROM imputed),
+      long AS (UNPIVOT dealt ON {', '.join(FEATURES)} INTO NAME feature VALUE value), outs AS (SELECT DISTINCT fold AS out FROM dealt),
+      per AS (SELECT out, feature, label, count(*) AS c, avg(value) AS m, var_pop(value) AS v FROM long JOIN outs ON out <> fold GROUP BY ALL),
+      total AS (SELECT out, feature, sum(c) AS n_all, count(*) AS k, sum(c * m) / sum(c) AS mean FROM per GROUP BY ALL),
+      f AS (SELECT out AS fold, feature, sum(c * (m - mean) * (m - mean)) * (max(n_all) - max(k)) / nullif(sum(c * v) * (max(k) - 1), 0) AS f FROM per JOIN total USING (out, feature) GROUP BY ALL),
+      ranked AS (SELECT CAST(fold AS INTEGER) AS fold, feature, f, row_number() OVER (PARTITION BY fold ORDER BY round(f, 9) DESC, feature) AS rank FROM f WHERE f IS NOT NULL)
+      SELECT fold, feature, round(f, 6) AS f, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= {_K}""",
     "written_cleaned": ORACLE_SQL["cleaned_bar_path"],
     "job_bar_paths": ORACLE_SQL["bar_path_features"],
-    "frame_csv": f"{_FRAMES} SELECT {', '.join(FRAME_ANGLES.names)} FROM all_frames",
+    "frame_csv": f"{_FRAMES} SELECT source_file, {', '.join(FRAME_ANGLES.names)} FROM all_frames",
+    "landmark_tables": f"WITH {fixtures.POSES_SQL}, w AS (SELECT clip, frame_idx, {_WRISTS} FROM flat WHERE p = 0 GROUP BY clip, frame_idx) SELECT clip, frame_idx, CAST(pose_idx AS INTEGER) AS pose_idx, round((left_wrist_x + right_wrist_x) / 2, 6) AS bar_x, round((left_wrist_y + right_wrist_y) / 2, 6) AS bar_y FROM chosen JOIN w USING (clip, frame_idx)",
     "frames_by_view": f"{_FRAMES} SELECT view, source_file, frame, symmetry_diff, avg_wrist_y FROM all_frames",
     "written_lifts": ORACLE_SQL["master_dataset"],
     "job_frames": f"WITH {fixtures.INVENTORY_SQL}, flags AS ({ORACLE_SQL['frame_flags']}) SELECT clip, view, concat(clip, '_', view, '.csv') AS source_file, frame, symmetry_diff, asymmetry_flag, lockout_flag, low_visibility_flag FROM flags JOIN clips ON clip = concat('clip', user_id) WHERE user_id % 4 <> 2 AND user_id % 5 <> 0",

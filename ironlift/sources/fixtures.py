@@ -55,6 +55,24 @@ def nested_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(u % 4 != 0, 25.0).otherwise(0.0).alias("fps"), F.transform(F.sequence(F.lit(0), last.cast("int")), pose).alias("poses"))
 
 
+def raw_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_landmarks, of which some videos fail: frames without a size, wrists never seen, no place of the bar."""
+    v = F.pmod(F.substring("video_id", 5, 20).cast("long"), F.lit(17))
+    rows = raw_landmarks(spark, sf_dir)
+    return rows.withColumns({
+        "frame_width": F.when((v != 3) | (F.col("frame_id") % 5 != 0), F.col("frame_width")),
+        "left_visibility": F.when(v == 4, 0.1).otherwise(F.col("left_visibility")), "bar_x": F.when(v != 5, F.col("bar_x"))})
+
+
+def named_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nested_poses under the names of inventory(): clip (its stem) and view; some clips have frames and no poses."""
+    u = F.substring("clip", 5, 20).cast("long")
+    number = F.floor(u / 3) + 1
+    word = F.when(number % 11 == 0, "lift").when(number % 2 == 0, "Good").otherwise("bad")
+    return nested_poses(spark, sf_dir).withColumns({
+        "view": F.when(u % 3 == 0, "side").when(u % 3 == 1, "front").otherwise("angle"), "poses": F.when(u % 13 != 5, F.col("poses")), "clip": F.concat(number.cast("string"), word)})
+
+
 def inventory(spark: SparkSession, sf_dir: str, by_clip: bool = False) -> tuple[DataFrame, DataFrame]:
     """Clips (file_name, stem, view) and those that are done (stem, view); stems are lifts' names, or the clips of nested_poses."""
     u = F.col("user_id")
@@ -79,17 +97,8 @@ RAW_SQL = """raw AS (
 _NAME_SQL = """concat(user_id // 3 + 1, CASE WHEN (user_id // 3 + 1) % 11 = 0 THEN 'lift' WHEN (user_id // 3 + 1) % 2 = 0 THEN 'Good' ELSE 'bad' END)"""
 _VIEW_SQL = "CASE user_id % 3 WHEN 0 THEN 'side' WHEN 1 THEN 'front' ELSE 'angle' END"
 
-
-
-FRAMES_SQL = f"""base AS (
-  SELECT concat({_NAME_SQL}, CASE WHEN user_id % 7 = 0 THEN 'a' ELSE '' END, '_', CASE WHEN user_id % 10 = 9 THEN 'whole' ELSE {_VIEW_SQL} END, '.csv') AS source_file,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position, 1 + 3 * (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) AS frame,
-    ((event_id * 37) % 1800) / 10.0::DOUBLE AS left_elbow_angle, ((event_id * 53 + user_id * 11) % 1800) / 10.0::DOUBLE AS right_elbow_angle,
-    ((event_id * 17) % 1800) / 10.0::DOUBLE AS left_shoulder_angle, ((event_id * 29) % 1800) / 10.0::DOUBLE AS right_shoulder_angle,
-    (event_id * 41) % 19200 AS ly, (event_id * 43 + user_id) % 19200 AS ry,
-    CAST(event_id % 4 = 0 AS INTEGER) AS low_visibility_flag, count(*) OVER (PARTITION BY user_id) AS n
-  FROM events),
-heights AS (
+#: From base (source_file, frame, position, n, the angles, wrist heights ly and ry in tenths, low_visibility_flag) to frames.
+_FRAME_TAIL = r"""heights AS (
   SELECT *, ly / 10.0::DOUBLE AS left_wrist_y, ry / 10.0::DOUBLE AS right_wrist_y, (ly / 10.0::DOUBLE + ry / 10.0::DOUBLE) / 2 AS mean_y,
     round_even(abs(left_elbow_angle - right_elbow_angle) * 10, 0) / 10 AS symmetry_diff FROM base),
 split AS (SELECT *, mean_y * 16 AS p, mean_y * 4 AS q FROM heights),
@@ -100,12 +109,22 @@ all_frames AS (
     (k + CASE WHEN (s - 2 * k - 1) + e > 0 OR ((s - 2 * k - 1) + e = 0 AND abs(k % 2) = 1) THEN 1 ELSE 0 END) / 10 AS avg_wrist_y,
     CAST(symmetry_diff > 15 AS INTEGER) AS asymmetry_flag, CAST(left_elbow_angle < 160 OR right_elbow_angle < 160 AS INTEGER) AS lockout_flag,
     CASE WHEN position < n // 3 THEN 'early' WHEN position < 2 * n // 3 THEN 'middle' ELSE 'final' END AS phase,
-    nullif(regexp_extract(lower(source_file), '_(side|front|angle)\\.csv$', 1), '') AS view,
+    nullif(regexp_extract(lower(source_file), '_(side|front|angle)\.csv$', 1), '') AS view,
     concat(regexp_extract(source_file, '^([0-9]+)', 1), CASE WHEN contains(lower(source_file), 'good') THEN 'good' WHEN contains(lower(source_file), 'bad') THEN 'bad' ELSE 'unlabeled' END) AS lift_id,
     CASE WHEN contains(lower(source_file), 'good') THEN 0 WHEN contains(lower(source_file), 'bad') THEN 1 END AS label
   FROM rests),
 frames AS (SELECT * FROM all_frames WHERE view IS NOT NULL)"""
 
+FRAMES_SQL = f"""base AS (
+  SELECT concat({_NAME_SQL}, CASE WHEN user_id % 7 = 0 THEN 'a' ELSE '' END, '_', CASE WHEN user_id % 10 = 9 THEN 'whole' ELSE {_VIEW_SQL} END, '.csv') AS source_file,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position, 1 + 3 * (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) AS frame,
+    ((event_id * 37) % 1800) / 10.0::DOUBLE AS left_elbow_angle, ((event_id * 53 + user_id * 11) % 1800) / 10.0::DOUBLE AS right_elbow_angle,
+    ((event_id * 17) % 1800) / 10.0::DOUBLE AS left_shoulder_angle, ((event_id * 29) % 1800) / 10.0::DOUBLE AS right_shoulder_angle,
+    (event_id * 41) % 19200 AS ly, (event_id * 43 + user_id) % 19200 AS ry,
+    CAST(event_id % 4 = 0 AS INTEGER) AS low_visibility_flag, count(*) OVER (PARTITION BY user_id) AS n
+  FROM events),
+{_FRAME_TAIL}"""
+
 #: Poses flattened: one row for each landmark.
 POSES_SQL = """numbered AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx FROM events),
@@ -124,3 +143,7 @@ chosen AS (
 INVENTORY_SQL = f"""clips AS (
   SELECT DISTINCT user_id, concat({_NAME_SQL}, CASE user_id % 4 WHEN 0 THEN '.mp4' WHEN 1 THEN '.MOV' WHEN 2 THEN '.txt' ELSE '.mkv' END) AS file_name, {_NAME_SQL} AS stem, {_VIEW_SQL} AS view FROM events),
 done AS (SELECT DISTINCT stem, view FROM clips WHERE user_id % 5 = 0)"""
+
+#: Videos of raw that fail as a whole.
+FAULTS_SQL = f"""{RAW_SQL}, marked AS (SELECT *, CAST(substring(video_id, 5) AS BIGINT) % 17 AS v FROM raw),
+faulty AS (SELECT * EXCLUDE (v) REPLACE (CASE WHEN v <> 3 OR frame_id % 5 <> 0 THEN frame_width END AS frame_width, CASE WHEN v = 4 THEN 0.1::DOUBLE ELSE left_visibility END AS left_visibility, CASE WHEN v <> 5 THEN bar_x END AS bar_x) FROM marked)"""

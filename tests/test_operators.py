@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,22 +143,61 @@ def lifts(spark, n):
     return spark.createDataFrame(rows, "lift_id string, " + ", ".join(f"{c} double" for c in FEATURES) + ", label int")
 
 
-def test_training(spark):
+def test_training(spark, tmp_path):
     params = TrainingParams(trees=20, folds=3)
     df = lifts(spark, 24)
     assert training.top_features(df, training.anova(training.impute(df))).first().feature == "side_lockout_ratio"
     assert sorted(r.fold for r in training.with_folds(df.limit(7)).collect()) == list(range(7))
     folds = training.with_folds(df, params).groupBy("fold", "label").count().collect()
     assert len(folds) == 6 and all(r["count"] == 4 for r in folds)
-    scores = training.cross_validate(df, params)
+    from ironlift.plans.jobs import predictions as predicted
+
+    predictions = predicted(df, f"file://{tmp_path}/dealt", params).cache()
+    assert sorted((r.model, r.lift_id) for r in predictions.collect()) == sorted((m, r.lift_id) for m in training.classifiers() for r in df.collect())
+    scores = training.cross_validate(predictions, params)
+    assert scores == {r.model: r.accuracy for r in training.accuracies(predictions).collect()}
     assert scores["boosted_trees"] > 0.8 and scores["random_forest"] > 0.5 and training.best_of({"a": 1.0, "b": 1.0}) == "a"
     model, used = training.fit_final(df, "boosted_trees", params)
     found = training.importances(spark, model, used).collect()
-    assert found[0].feature == "side_lockout_ratio" and len(found) == 8
+    assert used[0] == found[0].feature == "side_lockout_ratio" and len(found) == 8
     with pytest.raises(ValueError):
         training.prepared(df.where("label > 5"))
 
 
+@pytest.mark.parametrize("n", [9, 24, 40])
+def test_fold_features_are_those_that_a_fit_selects(spark, n):
+    """Moments merged over the other folds choose what Spark's selector chooses when it is fitted anew on the lifts outside each fold."""
+    params = TrainingParams(leave_one_out=10, folds=4)
+    rows = training.with_folds(training.impute(lifts(spark, n)), params).cache()
+    folds, k = training.n_folds(n, params), training.n_selected(n)
+    got = {}
+    for r in training.fold_features(rows, folds, k).collect():
+        got.setdefault(r.fold, {})[r.feature] = (r.rank, r.f)
+    assert len(got) == folds
+    used = [c for c in FEATURES if not c.startswith("angle_std")]
+    vectors = VectorAssembler(inputCols=used, outputCol="all").transform(rows)
+    for fold, chosen in got.items():
+        selector = UnivariateFeatureSelector(featuresCol="all", outputCol="s", labelCol="label", selectionMode="numTopFeatures").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(k)
+        assert {used[i] for i in selector.fit(vectors.where(F.col("fold") != fold)).selectedFeatures} == set(chosen)
+        whole = {r.feature: r.f for r in training.anova(rows.where(F.col("fold") != fold)).collect()}
+        assert sorted(r for r, _ in chosen.values()) == list(range(1, k + 1)) and all(f == pytest.approx(whole[c]) for c, (_, f) in chosen.items())
+
+
+def test_a_saved_model_scores_lifts_with_missing_features(spark, tmp_path):
+    df = lifts(spark, 24)
+    model, used = training.fit_final(df, "random_forest", TrainingParams(trees=10))
+    tables.save_model(model, training.importances(spark, model, used), f"file://{tmp_path}")
+    loaded = tables.load_model(f"file://{tmp_path}")
+    assert training.features_of(loaded) == used and {r.feature for r in spark.read.parquet(f"file://{tmp_path}/importances").collect()} == set(used)
+    bare = df.select("lift_id", *[F.lit(None).cast("double").alias(c) if c != "side_lockout_ratio" else F.col(c) for c in FEATURES])
+    for some in (df, bare, df.withColumn("label", F.lit(None).cast("int")), df.limit(0)):
+        a, b = (sorted(map(tuple, training.score_lifts(m, some).collect())) for m in (model, loaded))
+        assert a == b and len(a) == some.count() and all(0 <= r[2] <= 1 and r[1] == int(r[2] > 0.5) for r in a)
+    means = {c: m for c, m in zip(used, df.agg(*[F.avg(c) for c in used]).first())}
+    filled = bare.withColumns({c: F.lit(means[c]) for c in used if c != "side_lockout_ratio"})
+    assert sorted(map(tuple, training.score_lifts(loaded, bare).collect())) == sorted(map(tuple, training.score_lifts(loaded, filled).collect()))
+
+
 def test_reports(spark):
     inventory = spark.createDataFrame([("1good.MP4", "1good", "side"), ("2bad.mov", "2bad", "side"), ("3.txt", "3", "side"), ("4.mkv", "4", "front")], "file_name string, stem string, view string")
     done = spark.createDataFrame([("2bad", "side")], "stem string, view string")
@@ -180,11 +220,17 @@ def test_files(spark, tmp_path):
     for name in ("a.mp4", "b.MOV", "c.txt"):
         (tmp_path / "csv" / name).write_text("x")
     assert sorted(r.stem for r in reports.videos(tables.list_videos(spark, f"file://{tmp_path}/csv", "side")).collect()) == ["a", "b"]
+    names = ["10Good a_side.csv", "9bad+x%_front.csv"]
+    tables.write_frame_files(frame_rows(spark, [(n, 3, {}) for n in names]), f"file://{tmp_path}/named")
+    assert sorted((r.source_file, r.frame) for r in tables.read_frames(spark, f"file://{tmp_path}/named").collect()) == [(n, f) for n in names for f in (1, 4, 7)]
     full = spark.createDataFrame(path("v1", [1.0] * 9) + path("v2", [2.0] * 9) + path("bad", [2.0] * 9, width=0), RAW)
     out = f"file://{tmp_path}/out"
-    assert run_bar_paths(full, out).count() == 2 and run_bar_paths(full.where("video_id = 'v1'"), out).count() == 3
-    assert spark.read.parquet(f"{out}/interim").count() == spark.read.parquet(f"{out}/processed").count() == 18
-    assert tables.latest_features(spark.read.parquet(f"{out}/features"), "total_path_length").count() == 2
+    assert run_bar_paths(full, out, batch="a") == {"videos": 3, "rejected_videos": 1, "rows": 27, "rejected_rows": 9}
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/rejects").collect()] == [("bad", "a frame has no size", 9)]
+    again = lambda batch: run_bar_paths(full.where("video_id = 'v1'"), out, batch=batch)
+    assert again("b") == again("b") == {"videos": 1, "rejected_videos": 0, "rows": 9, "rejected_rows": 0}
+    assert tables.read_appended(spark, f"{out}/features").count() == 3 and tables.latest_features(spark, f"{out}/features").count() == 2
+    assert tables.read_cleaned(spark, f"{out}/interim").count() == tables.read_cleaned(spark, f"{out}/processed").count() == 18
     assert spark.createDataFrame([(float("nan"),)], "v double").select(present(F.col("v"))).first()[0] is None
     assert spark.createDataFrame([("5Good",)], "s string").select(label_of(F.col("s")), lift_id_of(F.col("s")), view_of(F.col("s"))).first()[:] == (0, "5good", None)
 
@@ -192,10 +238,16 @@ def test_files(spark, tmp_path):
 def test_lift_job(spark, tmp_path):
     from ironlift.plans.jobs import run_frames, run_lifts
 
+    out = f"file://{tmp_path}"
     df = frame_rows(spark, [(f"{k}{'good' if k % 2 else 'bad'}_{v}.csv", 9 + k, {}) for k in range(1, 7) for v in ("side", "front", "angle")])
-    scores = run_lifts(spark, df, f"file://{tmp_path}", clean=True, params=TrainingParams(trees=2))
-    assert set(scores) == {"random_forest", "boosted_trees"} and spark.read.parquet(f"file://{tmp_path}/comparison").count() == len(FEATURES)
-    assert run_lifts(spark, None, f"file://{tmp_path}", skip_frames=True, params=TrainingParams(trees=2)) == scores
+    scores = run_lifts(spark, df, out, clean=True, params=TrainingParams(leave_one_out=3, folds=2, trees=2), run="a")
+    assert set(scores) == {"random_forest", "boosted_trees"} and spark.read.parquet(f"{out}/comparison/run=a").count() == len(FEATURES)
+    assert run_lifts(spark, None, out, skip_frames=True, params=TrainingParams(leave_one_out=3, folds=2, trees=2)) == scores
+    table = lambda run: sorted(map(str, spark.read.parquet(f"{out}/lifts/run={run}").collect()))
+    run_lifts(spark, df.where("source_file like '1good%'"), out, params=TrainingParams(leave_one_out=3, folds=2, trees=2), run="b")  # clips written again
+    assert table("b") == table("a")
+    run_lifts(spark, df.where("source_file not like '1good%'"), out, clean=True, params=TrainingParams(leave_one_out=3, folds=2, trees=2), run="c")
+    assert len(table("c")) == len(table("a")) - 1
     schema = "clip string, frame_idx long, width int, height int, fps double, poses array<array<struct<x double, y double, visibility double>>>"
     nested = spark.createDataFrame([("1good", 0, 10, 10, 25.0, [pose(0.4)]), ("2bad", 0, 10, 10, 25.0, [pose(0.4)])], schema)
     inventory = spark.createDataFrame([("1good.mp4", "1good", "side"), ("2bad.mp4", "2bad", "side")], "file_name string, stem string, view string")
@@ -206,6 +258,28 @@ def test_lift_job(spark, tmp_path):
 def test_cleaned_rows_of_a_video_are_replaced(spark, tmp_path):
     out = f"file://{tmp_path}/cleaned"
     rows = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 1.0), ("b", 1, 2.0)], "video_id string, frame_id long, x double")
-    tables.write_cleaned(rows, out, parts=1)
-    tables.write_cleaned(rows.where("frame_id = 1 and video_id = 'a'").withColumn("x", F.lit(9.0)), out, parts=1)
+    tables.write_cleaned(rows, out)
+    tables.write_cleaned(rows.where("frame_id = 1 and video_id = 'a'").withColumn("x", F.lit(9.0)), out)
     assert sorted(tuple(r) for r in tables.read_cleaned(spark, out).select("video_id", "frame_id", "x").collect()) == [("a", 1, 9.0), ("b", 1, 2.0)]
+
+
+def test_tasks_of_cleaned_rows_follow_the_bytes(spark, tmp_path):
+    """Ten times the rows make many times the files, of one hot video too, whatever the number of shuffle partitions."""
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "64k")
+    try:
+        files = {}
+        for n in (10_000, 100_000):
+            rows = spark.range(n).selectExpr("if(id % 3 = 0, 'hot', concat('v', id % 50)) as video_id", "id as frame_id", "rand(1) as x", "rand(2) as y")
+            tables.write_cleaned(rows, f"file://{tmp_path}/{n}", "b")
+            files[n] = len(list((tmp_path / str(n) / "rows" / "batch=b").glob("part-*")))
+            assert tables.read_cleaned(spark, f"file://{tmp_path}/{n}").count() == n
+        assert files[100_000] >= 5 * files[10_000] and files[100_000] > 12, files
+    finally:
+        spark.conf.unset(size)
+
+
+def test_phases_do_not_depend_on_the_order_of_rows(spark):
+    df = frame_rows(spark, [("1good_side.csv", 9, {})]).withColumn("frame", (F.col("frame") / 7).cast("long"))
+    orders = [lift_features.phases(df.orderBy(F.xxhash64("left_elbow_angle", F.lit(k))).coalesce(1)).select("position", "phase", "left_elbow_angle").collect() for k in range(4)]
+    assert all(sorted(o) == sorted(orders[0]) for o in orders)
