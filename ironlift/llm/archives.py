@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filesystem, saved, tune, work_dir
+from .common import filesystem, qualified, saved, tune, work_dir
 
 #: Fields of an ARC record's header line, by the version that the file's first record declares.
 ARC_FIELDS = {
@@ -184,7 +184,7 @@ def _warc_writer(out: str, level: int):
 def write_warc(records: DataFrame, out: str | None = None, level: int = 3) -> DataFrame:
     """Writes what convert() gives as part-N.warc.gz, a member for each record; returns path and n_records of each file. No records, no files."""
     spark = records.sparkSession
-    out = out or work_dir(spark, "warc")
+    out = qualified(spark, out) if out else work_dir(spark, "warc")
     store, folder = filesystem(out)
     store.create_dir(folder, recursive=True)
     columns = ["key", "url", "ip", "archive_date", "mime", "http", "payload", "payload_digest", "original"]

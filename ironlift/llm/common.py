@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch may hold on its way to a Python worker, so that a batch of long texts stays small.
@@ -30,7 +30,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, root).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme and authority that Spark's writers give it, so that a bare path is on the cluster's default store for all readers."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -40,11 +46,31 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Schemes of Spark's stores and what pyarrow calls them.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "abfs": "abfs", "abfss": "abfss", "file": "file", "s3": "s3"}
+
+
 def filesystem(uri: str):
-    """(pyarrow filesystem, path) of a URI; works on driver and executors for any store that pyarrow reaches."""
+    """(pyarrow filesystem, path) of a qualified URI, on driver and executors; a path without a scheme is refused, as it would be each machine's own disk."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, found, rest = uri.partition(":")
+    if not found or scheme not in _SCHEMES:
+        raise ValueError(f"{uri} names no store that files are written to")
+    return fs.FileSystem.from_uri(f"{_SCHEMES[scheme]}:{rest}")
+
+
+def sums_before(counts: DataFrame, order: str, value: str, name: str, size: int = 4096) -> DataFrame:
+    """(order, name) of counts (order, a whole number from 0 that occurs once; value): the sum of value in the rows before.
+
+    Sums run within slices of `size` numbers, and over the slices' totals, so that no task holds more rows than a slice or there are slices.
+    """
+    sliced = counts.select(order, value, F.floor(F.col(order) / size).alias("slice__"))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy("slice__").agg(F.sum(value).alias("total__"))
+    begun = totals.select("slice__", F.coalesce(F.sum("total__").over(earlier.orderBy("slice__")), F.lit(0)).alias("begun__"))
+    within = F.coalesce(F.sum(value).over(earlier.partitionBy("slice__").orderBy(order)), F.lit(0))
+    return sliced.withColumn("within__", within).join(begun, "slice__").select(order, (F.col("begun__") + F.col("within__")).alias(name))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import filesystem, saved, tune, work_dir
+from .common import filesystem, qualified, saved, sums_before, tune, work_dir
 
 #: Bytes of text in a part, so that one task holds the ids and lengths of so many documents and no more.
 PART_BYTES = 64 << 20
+#: What each row counts as beside its text: its id and size are held in lists, so that parts of empty texts are bounded too.
+ROW_BYTES = 256
 #: Characters that are encoded together, and bytes of ids that one batch carries.
 SLICE = 1 << 20
 #: Distinct pieces that a worker remembers, the longest of them, and how many are encoded in one text.
@@ -184,16 +185,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, doc_id
     """
     spark = docs.sparkSession
     tune(spark)
-    out = out or work_dir(spark, "tokens")
+    out = qualified(spark, out) if out else work_dir(spark, "tokens")
     store, folder = filesystem(out)
     store.create_dir(folder, recursive=True)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
+    size = docs.select(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     parts_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     rows = rows.repartitionByRange(parts_, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
     parts = saved(rows.mapInArrow(_writer(out, tokenizer, end_id), _INDEX), "token-parts")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    bases = sums_before(parts, "part", "n_tokens", "base")
     index = parts.join(bases, "part").select("part", "path", "dtype", "n_docs", "n_tokens", "base", "doc_ids", "sizes")
     return saved(index.mapInArrow(_offsets, "part long, path string, dtype string, n_docs long, n_tokens long, base long"), "token-index")
 
