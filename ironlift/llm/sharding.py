@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import fresh, saved
+from .common import fresh, saved, sums_before
 
 #: Bytes of text that one bucket may hold on average; a bucket is shuffled in one task's memory.
 BUCKET_BYTES = 8 << 20
+#: Buckets of a task: tasks grow with the bytes, and no mapper keeps a part for each bucket.
+BUCKETS = 8
 
 
 def size_of(text: str):
@@ -36,10 +37,9 @@ def shuffle_shards(df: DataFrame, shards: int = 8, seed: int = 42, text: str = "
     n = max(1, -(-total // bucket_bytes))
     placed = df.withColumn(place, F.monotonically_increasing_id())
     rows = saved(placed.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.col(place)), F.lit(n))), "scatter")
-    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy(bucket).count().select(bucket, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
-    # as many partitions as buckets: a task holds the few buckets whose hashes meet, whatever the session's number
-    whole = rows.repartition(n, bucket).groupBy(bucket).agg(F.collect_list(F.struct(place, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))).alias(packed))
+    bases = sums_before(rows.groupBy(bucket).count(), bucket, "count", base)
+    # a task shuffles BUCKETS buckets or so, whatever the session's number
+    whole = rows.repartition(-(-n // BUCKETS), bucket).groupBy(bucket).agg(F.collect_list(F.struct(place, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))).alias(packed))
     by_place = F.array_sort(packed, lambda a, b: F.when(a[place] < b[place], -1).when(a[place] > b[place], 1).otherwise(0))  # rows arrive in any order
     mixed = whole.select(bucket, F.shuffle(by_place, F.lit(seed)).alias(packed))
     out = mixed.join(bases, bucket).select(base, F.posexplode(packed).alias(pos, "row"))
