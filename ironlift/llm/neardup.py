@@ -223,16 +223,19 @@ def _between(met: DataFrame, sets: DataFrame, similarity: float, few: int) -> Da
         groups = saved(groups, "groups")
         if groups.isEmpty():
             break
-        size = groups.groupBy("g").agg(F.count("*").alias("m"))
-        most = groups.select("g", F.explode("own").alias("x")).groupBy("g", "x").agg(F.count("*").alias("k")).join(size, "g").where("2 * k > m").groupBy("g").agg(F.collect_list("x").alias("turned"))
+        # what is told of a group is written, a row a group, so that a join with it is sent whole while it is small and else split at a hot group
+        size = saved(groups.groupBy("g").agg(F.count("*").alias("m")), "sizes")
+        most = groups.select("g", F.explode("own").alias("x")).groupBy("g", "x").agg(F.count("*").alias("k")).join(size, "g").where("2 * k > m").groupBy("g").agg(F.collect_list("x").alias("turned"))  # less than twice as many shingles as a member has
+        most = saved(most, "turned")
         turned = groups.join(most, "g", "left").withColumn("turned", F.coalesce("turned", none))
         near = turned.withColumn("own", F.concat(F.array_except("own", "turned"), F.array_except("turned", "own"))).drop("turned")
         near = saved(near.withColumn("d", F.size("own")).withColumn("spare", slack * F.col("n") - F.col("d")).withColumn("odd", _odd("own")), "near")
         nearest = near.groupBy("g").agg(F.max_by("id", "spare").alias("star"), F.max("spare").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("widest"))
+        nearest = saved(nearest, "nearest")
         placed = near.join(nearest.where("lo <> hi"), "g").withColumn("core", F.col("spare") + F.col("most") >= -1e-6)
         found.append(placed.where("core and id <> star").select(F.col("star").alias("a"), F.col("id").alias("b")))
         # a core member's partner is no core member, and any other's at most the nearest
-        outer = placed.where("not core").groupBy("g").agg(F.max("spare").alias("outer"))
+        outer = saved(placed.where("not core").groupBy("g").agg(F.max("spare").alias("outer")), "outer")
         placed = placed.join(outer, "g").withColumn("most", F.when(F.col("core"), F.col("outer")).otherwise(F.col("most")))
         # shingles that must be shared with someone, and who can
         widest = F.least(F.col("n") / similarity, F.col("widest"))
