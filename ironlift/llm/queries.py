@@ -133,7 +133,34 @@ _TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F
 _BYTES = "flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END))"
 _BITS = "list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, bit: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
 _CRC32 = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform({_BYTES}, lambda b: b::BIGINT)), lambda crc, byte: {_BITS}), 4294967295)"
+#: The words of op4 and op7.
+_WORDS = _TERMS
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": f"""
+        WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS words FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+        wanted AS (SELECT DISTINCT item_id, size, array_to_string(words[i:i + size - 1], ' ') AS win
+            FROM (SELECT item_id, words, least(len(words), 10) AS size, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS i FROM b WHERE len(words) > 0)),
+        windows AS (SELECT doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS win
+            FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM wanted) WHERE len(words) >= size)),
+        found AS (SELECT doc_id, item_id, i, size FROM windows JOIN wanted USING (size, win)),
+        hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM found) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op7_near_duplicates": f"""
+        WITH RECURSIVE node AS (SELECT text, min(doc_id) AS node, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text),
+        worded AS (SELECT node, {_WORDS} AS words FROM node),
+        shingle AS (SELECT DISTINCT node, array_to_string(words[i:i + least(len(words), 5) - 1], ' ') AS s
+            FROM (SELECT node, words, unnest(range(1, len(words) - least(len(words), 5) + 2)) AS i FROM worded WHERE len(words) > 0)),
+        sized AS (SELECT node, count(*) AS n FROM shingle GROUP BY node),
+        shared AS (SELECT a.node AS a, b.node AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.node <> b.node GROUP BY ALL),
+        link AS (SELECT a, b FROM shared JOIN sized x ON a = x.node JOIN sized y ON b = y.node WHERE shared.n >= 0.8 * (x.n + y.n - shared.n) - 1e-9),
+        reach AS (SELECT node AS a, node AS b FROM node UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+        class AS (SELECT a AS node, min(b) AS class_id FROM reach GROUP BY a),
+        counted AS (SELECT class_id, CAST(sum(copies) AS BIGINT) AS n_class FROM class JOIN node USING (node) GROUP BY class_id)
+        SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_class, 1) AS n_class
+        FROM documents d LEFT JOIN node ON d.text = node.text LEFT JOIN class USING (node) LEFT JOIN counted USING (class_id)""",
     "op12_spelling_variants": f"""
         WITH RECURSIVE held AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
         counted AS (SELECT run, concat(doc_id, ':', run) AS s, count(*) AS n FROM held GROUP BY doc_id, run),
