@@ -356,6 +356,12 @@ def video_inventory(spark, d):
     return reports.videos(tables.list_videos(spark, path))
 
 
+def view_to_do(spark, d):
+    """The videos of one view, named in any case, that have no result yet."""
+    clips, done = fixtures.inventory(spark, d)
+    return jobs.clips_to_do(clips, done, "Front")
+
+
 def skip_processed(spark, d):
     return reports.unprocessed(*fixtures.inventory(spark, d))
 
@@ -375,6 +381,11 @@ def _labelled(spark, d):
     return training.prepared(spark.read.parquet(path))
 
 
+def prepared_lifts(spark, d):
+    """What training takes: labelled lifts alone."""
+    return _labelled(spark, d).select("lift_id", "label")
+
+
 def mean_impute(spark, d):
     return rounded(training.impute(_labelled(spark, d)))
 
@@ -467,7 +478,7 @@ QUERIES: dict[str, Query] = {
     "written_cleaned": written_cleaned, "frame_csv": frame_csv, "frames_by_view": frames_by_view, "written_lifts": written_lifts,
     "job_bar_paths": job_bar_paths, "job_frames": job_frames, "job_lifts": job_lifts,
     "rewritten_frames": rewritten_frames, "resumed_frames": resumed_frames, "retried_append": retried_append, "job_rejects": job_rejects,
-    "job_whole": job_whole, "job_whole_again": job_whole_again, "landmark_tables": landmark_tables, "fold_features": fold_features, "out_of_fold": out_of_fold, "score_lifts": score_lifts,
+    "job_whole": job_whole, "job_whole_again": job_whole_again, "landmark_tables": landmark_tables, "prepared_lifts": prepared_lifts, "view_to_do": view_to_do, "fold_features": fold_features, "out_of_fold": out_of_fold, "score_lifts": score_lifts,
 }
 
 _WRISTS = ", ".join(f"coalesce(max(CASE WHEN i = {i} THEN {v} END), 0) AS {n}" for s, i in (("left", 15), ("right", 16)) for v, n in (("x", f"{s}_wrist_x"), ("y", f"{s}_wrist_y"), ("visibility", f"{s}_visibility")))
@@ -514,6 +525,8 @@ ORACLE_SQL: dict[str, str] = {
 _K = "(SELECT greatest(3, least(8, count(*) // 2)) FROM known)"
 _WHOLE = f"{_WHOLE_FRAMES}, {_MASTER_TAIL} SELECT lift_id, {_round_sql(*FEATURES)}, label FROM master"
 ORACLE_SQL |= {
+    "prepared_lifts": f"{_MASTER} SELECT lift_id, label FROM master WHERE label IS NOT NULL",
+    "view_to_do": f"WITH {fixtures.INVENTORY_SQL} SELECT DISTINCT stem AS clip, view FROM clips c WHERE view = 'front' AND user_id % 4 <> 2 AND NOT EXISTS (SELECT 1 FROM done d WHERE d.stem = c.stem AND d.view = c.view)",
     "rewritten_frames": ORACLE_SQL["master_dataset"], "retried_append": ORACLE_SQL["append_features"], "job_whole": _WHOLE, "job_whole_again": _WHOLE,
     "resumed_frames": f"{_WHOLE_FRAMES}, per AS (SELECT source_file, count(*) AS frames FROM frames GROUP BY source_file) SELECT named.source_file, regexp_extract(named.source_file, '_([a-z]+)\\.csv$', 1) AS view, 1::BIGINT AS attempts, coalesce(frames, 0) AS frames FROM named LEFT JOIN per USING (source_file)",
     "job_rejects": f"""WITH {fixtures.FAULTS_SQL}, judged AS (SELECT video_id, count(*) AS rows, count_if(coalesce(frame_width, 0) <= 0) AS unsized, count_if(left_visibility >= 0.5 AND right_visibility >= 0.5) AS seen,

@@ -89,11 +89,13 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The rows of each key's last batch: later batches replace what earlier ones had of a key, also by nothing."""
+    """The rows of each key's last batch: later batches replace what earlier ones had of a key, also by nothing. Of two that were written side by side
+    under one number the later id counts. Rows of a null key are replaced by none but a fresh batch.
+    """
     rows, done = read_rows(spark, path), manifest(spark, path)
     if len(committed(spark, path)) > 1:
-        last = done.groupBy(*keys).agg(F.max("seq").alias("last__"))
-        old = done.join(last, keys).where(F.col("seq") < F.col("last__")).select(*keys, "batch")
+        last = done.groupBy(*keys).agg(F.max(F.struct("seq", "batch")).alias("last__"))
+        old = done.join(last, keys).where(F.struct("seq", "batch") < F.col("last__")).select(*keys, "batch")
         rows = rows.join(old, [*keys, "batch"], "left_anti")
     return rows.drop("batch")
 

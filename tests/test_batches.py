@@ -61,6 +61,15 @@ def test_later_batches_replace_keys(spark, tmp_path):
     assert rows_of_any(batches.read_latest(spark, path, ["k"])) == [str((None, 4))]
 
 
+def test_two_batches_of_one_number(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    for b, v in (("x", 1), ("y", 2)):
+        df = spark.createDataFrame([("a", v)], ROWS)
+        df.write.parquet(f"{path}/rows/batch={b}")
+        df.select("k").write.parquet(f"{path}/manifest/seq=000000000001/batch={b}/fresh=0")
+    assert rows_of(batches.read_latest(spark, path, ["k"])) == [("a", 2)]
+
+
 def rows_of_any(df):
     return [str((r.k, r.v)) for r in df.collect()]
 
