@@ -29,7 +29,10 @@ _RECORD = "key long, url string, ip string, archive_date string, mime string, ar
 
 
 def arc_blocks(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", date: str = "20000101000000", version: int = 1) -> DataFrame:
-    """Pages as one-record ARC files: key, arc (binary). White space in a url is percent-encoded; a null url is `-`, a null html is empty."""
+    """Pages as one-record ARC files: key, arc (binary). White space in a url is percent-encoded; a null url is `-`, a null html is empty.
+
+    Repeated rows are archives of their own, very long pages are one record each, an empty table gives none.
+    """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n")).cast("binary")
     size = F.octet_length(http) + F.octet_length(payload)
@@ -95,7 +98,10 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """ARC files (.arc, or .arc.gz with a member for each record or one for all) as key (null), arc."""
+    """ARC files (.arc, or .arc.gz with a member for each record or one for all) as key (null), arc.
+
+    A file is one cell, so it may have 2 GB at most, unzipped too; larger ones are to be cut at a record before. Repeated files are rows of their own; a folder without files gives an empty table.
+    """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.arc*").load(path).select(F.lit(None).cast("long").alias("key"), "content")
     return raw.select("key", _unzipped("content").alias("arc"))
 

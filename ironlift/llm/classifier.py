@@ -114,7 +114,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """A vector for each slot, from the contexts of all words of all texts: SLOTS x DIMENSIONS, whatever the corpus.
 
-    Partitions sum up on their own and their sums are added in Spark; the driver gets SLOTS rows at most.
+    Partitions sum up on their own and their sums are added in Spark; the driver gets SLOTS rows at most. Null and empty texts have no
+    words, repeated rows count each, very long texts are taken whole, and an empty table leaves each slot its own random vector.
     """
     tune(docs.sparkSession)
     parts = docs.select(F.col(text).alias("text")).mapInArrow(_contexts, "slot int, sums array<double>")

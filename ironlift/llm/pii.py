@@ -224,7 +224,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     then passes validation; a failing match is dropped and not tried again from within. url (with a user and
     password), iban (checksum holds), account (digits after a cue) and secret (a value of letters and digits assigned
     to a name with a cue such as token, key or password) come on top. Very long texts are searched whole. A null or empty text has
-    none; repeated rows each get their own; a clashing column spans stays and the new one gets underscores.
+    none; repeated rows each get their own; an empty table gives an empty one; a clashing column spans stays and the new one gets underscores.
     """
     tune(docs.sparkSession)
     (name,) = fresh(docs, "spans")

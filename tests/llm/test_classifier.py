@@ -58,3 +58,25 @@ def test_edges(spark):
         assert len({round(r.own, 9) for r in fit(docs, other).score(docs, name="own").collect()}) == 1
     assert fit(docs.limit(0), labels).score(docs.limit(0), name="own").count() == 0
     assert docs.where(held_out(docs.doc_id)).count() == sum(k is not None and zlib.crc32(str(k).encode()) % 3 == 1 for k, *_ in rows)
+
+
+def test_word_vectors_against_a_loop(spark):
+    """The sums of neighbours' index vectors, word by word."""
+    from ironlift.llm.classifier import CONTEXT, DIMENSIONS, PRIOR, SLOTS, word_vectors
+
+    texts = ["one two three two one", "", None, "two", "three ONE two!! four one one", "x " * 30]
+    index = index_vectors().astype(float)
+    sums, seen = np.zeros((SLOTS, DIMENSIONS)), np.zeros(SLOTS)
+    for t in texts:
+        _, whole, shape = word_slots([(t or "").encode()])
+        for i in range(len(whole)):
+            for j in range(max(0, i - CONTEXT), min(len(whole), i + CONTEXT + 1)):
+                if j != i:
+                    for slot in (whole[i], shape[i]):
+                        sums[slot] += index[whole[j]] + index[shape[j]]
+                        seen[slot] += 1
+    want = sums / np.sqrt(seen + 1)[:, None]
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    want = want / (norm + 1e-9) * (norm / (norm + PRIOR)) + index / 2 * (PRIOR / (norm + PRIOR))
+    got = word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert np.abs(got - want).max() < 1e-4 and (seen > 0).sum() > 10

@@ -1,6 +1,7 @@
 import zlib
 
 from ironlift.llm.queries import op6_shuffle_shards
+from ironlift.llm import common
 from ironlift.llm.sharding import shuffle_shards, write_shards
 
 
@@ -40,3 +41,36 @@ def test_hot_null_repeated_and_clashing(spark, tmp_path):
 
 def test_empty(spark):
     assert shuffle_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_orders_repeat_under_a_seed_and_are_uniform(spark):
+    """Under one seed and split the order repeats; over many seeds each row stands everywhere equally often, and so do pairs one after the other."""
+    df = spark.range(0, 12, 1, 3).selectExpr("id as doc_id", "repeat('x', 30) as text")
+    order = lambda seed: [r.doc_id for r in sorted(shuffle_shards(df, shards=1, seed=seed, bucket_bytes=100).collect(), key=lambda r: r.slot)]
+    assert order(5) == order(5)
+    seeds = 60
+    orders = [order(k) for k in range(seeds)]
+    assert len({tuple(o) for o in orders}) > seeds * 0.9
+    places = [[o.index(d) for o in orders] for d in range(12)]
+    # a row's mean place is 5.5 with a deviation of 3.45 / sqrt(seeds)
+    assert all(abs(sum(p) / seeds - 5.5) < 4 * 3.45 / seeds**0.5 for p in places)
+    before = sum(o.index(0) < o.index(1) for o in orders)
+    assert abs(before - seeds / 2) < 4 * (seeds / 4) ** 0.5
+
+
+def test_tasks_follow_the_bytes(spark):
+    df = spark.range(0, 400, 1, 2).selectExpr("id as doc_id", "repeat('x', 999) as text")
+    tasks = lambda n: shuffle_shards(df, bucket_bytes=n)._jdf.queryExecution().analyzed().toString().count("RepartitionByExpression")
+    import re
+
+    number = lambda n: int(re.search(r"RepartitionByExpression \[[^\]]*\], (\d+)", shuffle_shards(df, bucket_bytes=n)._jdf.queryExecution().analyzed().toString())[1])
+    assert tasks(1000) == 1 and number(1000) == 50 and number(10_000) == 5 and number(1 << 20) == 1
+
+
+def test_sums_before(spark):
+    rows = [(k, (k * 7) % 11) for k in range(1000) if k % 5]
+    got = common.sums_before(spark.createDataFrame(rows, "k long, n long").repartition(5), "k", "n", "before", 64).collect()
+    want, total = {}, 0
+    for k, n in rows:
+        want[k], total = total, total + n
+    assert {r.k: r.before for r in got} == want

@@ -73,3 +73,25 @@ def test_edges(spark, tmp_path):
     assert {p.suffix for p in (tmp_path / "t").iterdir()} == {".ids", ".offsets", ".docs"}
     empty = write_tokens(df.limit(0), "byte_bpe_50k.json")
     assert read_tokens(empty).count() == 0
+
+
+def test_a_table_of_null_texts_fills_several_parts(spark):
+    """Rows count beside their texts, so that the ids of a part are bounded without any text."""
+    from ironlift.llm import tokens
+
+    docs = spark.range(1_000_000).selectExpr("id as doc_id", "cast(null as string) as text")
+    index = write_tokens(docs, "byte_bpe_50k.json").collect()
+    assert max(r.n_docs for r in index) <= 3 * tokens.PART_BYTES // tokens.ROW_BYTES and len(index) >= 4 and sum(r.n_docs for r in index) == 1_000_000
+    assert [r.base for r in sorted(index, key=lambda r: r.part)] == [sum(x.n_tokens for x in index if x.part < r.part) for r in sorted(index, key=lambda r: r.part)]
+
+
+def test_paths_are_those_of_sparks_store(spark, tmp_path):
+    from ironlift.llm.common import filesystem, qualified
+
+    assert qualified(spark, f"{tmp_path}/x") == f"file:{tmp_path}/x" == qualified(spark, f"file://{tmp_path}/x")
+    for bad in (f"{tmp_path}/x", "odd://store/x"):
+        with pytest.raises(ValueError):
+            filesystem(bad)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    index = write_tokens(docs, "byte_bpe_50k.json", out=f"{tmp_path}/bare")
+    assert read_tokens(index).count() == 1 and list((tmp_path / "bare").glob("part-*.ids"))
