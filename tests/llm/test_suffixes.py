@@ -79,3 +79,17 @@ def test_clash_and_empty(spark):
     assert out.columns == ["doc_id", "text", "n_bytes", "kept", "n_bytes_", "n_removed", "n_spans"]
     assert {r.doc_id: r.n_removed for r in out.collect()} == {1: 900, 2: 0}
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_changed_follows_bytes_not_words(spark, tmp_path):
+    """A shared passage of over 50 words stays below 400 bytes and goes from there on."""
+    rnd = random.Random(8)
+    words = lambda n, size: " ".join("".join(rnd.choice("abcdefghij") for _ in range(size)) for _ in range(n))
+    short, long = words(55, 6), words(57, 7)  # 384 and 455 bytes, and the blanks around them
+    texts = [f"{i} {passage} {words(20, 5)}" for i, passage in enumerate((short, short, long, long, words(57, 7)))] + [None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op8_remove_repeats(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "changed"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[k].changed for k in range(6)] == [False, False, True, True, False, False]
+    assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans) for k in range(6)] == [b[:3] for b in brute(texts, 400)]
